@@ -11,7 +11,8 @@ from tillwise.config import DayWindow
 
 
 def month_text(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM")
+    """``yyyy-MM`` of a date or timestamp."""
+    return F.date_format(day.cast("date"), "yyyy-MM")
 
 
 def month_index(day: Column) -> Column:

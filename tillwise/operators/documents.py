@@ -9,21 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.operators.profile import side_by_side
-
-
-def records(frame: DataFrame, name: str, order_by: str) -> DataFrame:
-    """A small frame as one row holding an ordered array of its rows.
-
-    The sort key leads the sorted struct because collect_list promises no order.
-    """
-    keyed = F.struct(F.col(order_by).alias("sort_key"), F.struct(*frame.columns).alias("record"))
-    ordered = F.array_sort(F.collect_list(keyed))
-    return frame.agg(F.transform(ordered, lambda item: item["record"]).alias(name))
-
-
-def as_struct(row: DataFrame, name: str) -> DataFrame:
-    return row.select(F.struct(*row.columns).alias(name))
+from tillwise.operators.rows import as_struct, records, side_by_side
 
 
 def summary_document(

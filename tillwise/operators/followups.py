@@ -23,7 +23,8 @@ def top_products(lines: DataFrame, rules: CleaningRules, month: DayWindow, k: in
         .groupBy("StockCode")
         .agg(F.sum(line_revenue()).alias("revenue"), F.sum("Quantity").alias("units"))
     )
-    total = per_product.agg(F.sum("revenue")).scalar()
+    # Both totals read exactly what the ranking reads, so the aggregation is shuffled only once.
+    total = per_product.agg(F.struct(F.sum("revenue").alias("revenue"), F.sum("units").alias("units"))).scalar()
     best_first = [F.col("revenue").desc(), F.col("StockCode")]
     # The limit keeps k rows before the rank is taken over all of them.
     top = per_product.orderBy(*best_first).limit(k)
@@ -32,7 +33,8 @@ def top_products(lines: DataFrame, rules: CleaningRules, month: DayWindow, k: in
         "StockCode",
         "units",
         round2(F.col("revenue")).alias("revenue"),
-        pct(F.col("revenue"), total).alias("revenue_share_pct"),
+        pct(F.col("revenue"), total.getField("revenue")).alias("revenue_share_pct"),
+        pct(F.col("units"), total.getField("units")).alias("units_share_pct"),
     )
 
 
@@ -49,7 +51,8 @@ def country_kpi(lines: DataFrame, rules: CleaningRules) -> DataFrame:
         F.count_distinct("CustomerID").alias("members"),
         F.sum("revenue").alias("revenue"),
     )
-    total = per_country.agg(F.sum("revenue")).scalar()
+    # One row per country, so the window over all of them is small.
+    total = F.sum("revenue").over(Window.partitionBy())
     return per_country.select(
         "Country",
         "lines",
@@ -238,6 +241,10 @@ def censoring_flags(retention: DataFrame, config: AnalysisConfig) -> DataFrame:
 
 def weak_months(kpi: DataFrame) -> DataFrame:
     """Months whose average daily revenue is below the mean over all months."""
-    mean = kpi.agg(ratio(F.sum("avg_daily_revenue"), F.count(F.lit(1)))).scalar()
-    gap = F.col("avg_daily_revenue") - mean
-    return kpi.filter(gap < 0).select("order_month", "avg_daily_revenue", pct(gap, mean).alias("gap_to_mean_pct"))
+    # One row per month, so the window over all of them is small.
+    all_months = Window.partitionBy()
+    mean = ratio(F.sum("avg_daily_revenue").over(all_months), F.count(F.lit(1)).over(all_months))
+    compared = kpi.withColumn("mean", mean).withColumn("gap", F.col("avg_daily_revenue") - F.col("mean"))
+    return compared.filter("gap < 0").select(
+        "order_month", "avg_daily_revenue", pct(F.col("gap"), F.col("mean")).alias("gap_to_mean_pct")
+    )

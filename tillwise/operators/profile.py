@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tillwise.config import AnalysisConfig, month_slug
 from tillwise.functions import pct, round2
+from tillwise.operators.rows import mean_of, record_at, records, side_by_side
 from tillwise.sources.lines import LINE_COLUMNS
 
-_TS_TEXT = "yyyy-MM-dd HH:mm:ss"
-
 
 def profile_raw(lines: DataFrame) -> DataFrame:
     """Size, period, invoices and customers of the raw lines."""
@@ -26,8 +25,8 @@ def _raw_profile(frame: DataFrame, rows: Column, first: str, last: str) -> DataF
     return frame.agg(
         rows.alias("raw_rows"),
         F.lit(len(LINE_COLUMNS)).alias("raw_columns"),
-        F.date_format(F.min(first), _TS_TEXT).alias("date_min"),
-        F.date_format(F.max(last), _TS_TEXT).alias("date_max"),
+        F.min(first).cast("string").alias("date_min"),
+        F.max(last).cast("string").alias("date_max"),
         F.count_distinct("InvoiceNo").alias("raw_unique_invoices"),
         F.count_distinct("CustomerID").alias("raw_unique_customers_non_null"),
     )
@@ -49,34 +48,33 @@ def profile_clean(facts: DataFrame) -> DataFrame:
 
 
 def insights(kpi: DataFrame, matrix: DataFrame, guests: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """The eight headline values as one row. A month or cohort without data gives NULL."""
-    m = config.months
+    """The eight headline values as one row. A month or cohort without data gives NULL.
 
-    def at(key: str, wanted: str, value: str) -> Column:
-        return F.max(F.when(F.col(key) == wanted, F.col(value)))
-
-    growth = kpi.agg(
-        *[
-            at("order_month", month, "avg_daily_revenue").alias(f"{month_slug(month)}_avg_daily_revenue")
-            for month in (m.peak, m.last, m.base)
-        ]
-    )
-    guest = guests.agg(
-        *[
-            at("order_month", m.peak, name).alias(f"{month_slug(m.peak)}_{name}")
-            for name in ("guest_order_share_pct", "guest_revenue_share_pct", "guest_avg_revenue_per_order")
-        ]
+    They are looked up in the same records that the documents list, so a document with both
+    computes each table once.
+    """
+    m = config.months
+    tables = side_by_side(
+        records(kpi, "monthly_kpi", "order_month"),
+        records(matrix, "cohort_retention_matrix", "cohort_month"),
+        records(guests, "guest_metrics", "order_month"),
     )
-    long_cell = f"m{m.cohort_offset}_retention_pct"
-    retention = matrix.agg(
-        at("cohort_month", m.cohort, long_cell).alias(f"cohort_{m.cohort.replace('-', '_')}_{long_cell}"),
+    revenue = [
+        record_at("monthly_kpi", "order_month", month, "avg_daily_revenue").alias(
+            f"{month_slug(month)}_avg_daily_revenue"
+        )
+        for month in (m.peak, m.last, m.base)
+    ]
+    guest = [
+        record_at("guest_metrics", "order_month", m.peak, name).alias(f"{month_slug(m.peak)}_{name}")
+        for name in ("guest_order_share_pct", "guest_revenue_share_pct", "guest_avg_revenue_per_order")
+    ]
+    cell = f"m{m.cohort_offset}_retention_pct"
+    long_retention = record_at("cohort_retention_matrix", "cohort_month", m.cohort, cell)
+    return tables.select(
+        *revenue,
+        *guest,
+        long_retention.alias(f"cohort_{m.cohort.replace('-', '_')}_{cell}"),
         # The mean of the rounded cells; cohorts without a first month are left out.
-        round2(F.avg("m1_retention_pct")).alias("average_m1_retention_pct"),
+        round2(mean_of("cohort_retention_matrix", "m1_retention_pct")).alias("average_m1_retention_pct"),
     )
-    return side_by_side(growth, guest, retention)
-
-
-def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """One-row frames as one row, by scalar subqueries: a second row anywhere is an error."""
-    rows = [other.select(F.struct("*")).scalar().alias(f"row_{n}") for n, other in enumerate(others)]
-    return first.select("*", *rows).select(*first.columns, *[f"row_{n}.*" for n in range(len(rows))])

@@ -16,7 +16,7 @@ from tillwise.operators.cleaning import (
     line_revenue,
     steps_passed,
 )
-from tillwise.operators.profile import side_by_side
+from tillwise.operators.rows import side_by_side
 
 # Fixed value: description of the first funnel step as published.
 RAW_STEP = ("raw", "원본 거래 라인")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise.config import AnalysisConfig, month_bounds
 from tillwise.functions import band, label_of, percent_text, thousands
-from tillwise.operators.profile import side_by_side
+from tillwise.operators.rows import side_by_side
 
 # Display headers, labels, notes and thresholds as published.
 MONTHLY_HEADERS = {
