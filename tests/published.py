@@ -1,0 +1,117 @@
+"""Results published for the original shop data, as given.
+
+The shop's lines are not available, so the tests rebuild inputs that must lead to these results.
+"""
+
+FUNNEL = """
+raw 541909 0 100.0
+remove_cancel_invoice 532621 9288 98.29
+remove_short_stock_code 530303 2318 97.86
+remove_non_positive_quantity 528967 1336 97.61
+remove_non_positive_unit_price 527803 1164 97.4
+remove_quantity_outliers 527801 2 97.4
+"""
+
+# month, revenue, customers and orders per day, and the change of each against the month before
+MONTHLY_KPI = """
+2010-12 25534.34 39.52 50.06 - - -
+2011-01 19187.86 30.94 34.87 -24.85 -21.71 -30.34
+2011-02 18176.89 34.32 39.04 -5.27 10.92 11.96
+2011-03 22305.99 40.1 46.48 22.72 16.84 19.06
+2011-04 17210.83 35.83 41.2 -22.84 -10.65 -11.36
+2011-05 23912.6 43.81 53.84 38.94 22.27 30.68
+2011-06 24629.23 42.47 50.83 3.0 -3.06 -5.59
+2011-07 22238.64 39.32 46.84 -9.71 -7.42 -7.85
+2011-08 23406.62 38.74 43.19 5.25 -1.48 -7.79
+2011-09 34351.01 53.27 60.67 46.76 37.51 40.47
+2011-10 35700.53 55.52 64.74 3.93 4.22 6.71
+2011-11 48592.52 80.37 91.77 36.11 44.76 41.75
+2011-12 49671.89 79.22 90.67 2.22 -1.43 -1.2
+"""
+
+# cohort, members, then members active again after 1, 2, ... months
+RETAINED = """
+2010-12 885 323 286 339 320 352 320 308 312 350 330 444
+2011-01 415 91 111 95 133 120 103 100 124 136 152 49
+2011-02 380 71 71 109 103 93 97 104 94 116 26
+2011-03 452 67 114 90 101 76 121 104 126 39
+2011-04 300 63 61 63 59 68 65 78 22
+2011-05 284 54 49 49 59 66 75 26
+2011-06 242 42 38 64 56 80 23
+2011-07 187 33 38 42 51 21
+2011-08 169 34 41 41 21
+2011-09 299 70 90 34
+2011-10 357 85 41
+2011-11 323 36
+2011-12 41
+"""
+
+# cohort, members, then the same in percent
+MATRIX = """
+2010-12 885 36.5 32.32 38.31 36.16 39.77 36.16 34.8 35.25 39.55 37.29 50.17
+2011-01 415 21.93 26.75 22.89 32.05 28.92 24.82 24.1 29.88 32.77 36.63 11.81
+2011-02 380 18.68 18.68 28.68 27.11 24.47 25.53 27.37 24.74 30.53 6.84
+2011-03 452 14.82 25.22 19.91 22.35 16.81 26.77 23.01 27.88 8.63
+2011-04 300 21.0 20.33 21.0 19.67 22.67 21.67 26.0 7.33
+2011-05 284 19.01 17.25 17.25 20.77 23.24 26.41 9.15
+2011-06 242 17.36 15.7 26.45 23.14 33.06 9.5
+2011-07 187 17.65 20.32 22.46 27.27 11.23
+2011-08 169 20.12 24.26 24.26 12.43
+2011-09 299 23.41 30.1 11.37
+2011-10 357 23.81 11.48
+2011-11 323 11.15
+2011-12 41
+"""
+
+# month, guest orders, all orders, share of orders, share of revenue, revenue per guest order
+GUEST_METRICS = """
+2010-12 157 1552 10.12 28.31 1427.13
+2011-01 98 1081 9.07 18.15 1101.69
+2011-02 101 1093 9.24 12.89 649.57
+2011-03 129 1441 8.95 15.46 828.86
+2011-04 96 1236 7.77 11.82 635.86
+2011-05 124 1669 7.43 10.9 651.56
+2011-06 135 1525 8.85 11.43 625.51
+2011-07 131 1452 9.02 14.02 737.91
+2011-08 72 1339 5.38 12.24 1233.3
+2011-09 79 1820 4.34 8.69 1134.17
+2011-10 102 2007 5.08 9.13 990.62
+2011-11 109 2753 3.96 21.65 2895.41
+2011-12 40 816 4.9 22.88 2556.78
+"""
+
+CLEAN_REVENUE = 10040391.76
+CLEAN_INVOICES = 19784
+CUSTOMERS_WITH_GUEST_KEY = 4335
+
+INSIGHTS = {
+    "nov_2011_avg_daily_revenue": 48592.52,
+    "dec_2011_avg_daily_revenue": 49671.89,
+    "jan_2011_avg_daily_revenue": 19187.86,
+    "nov_2011_guest_order_share_pct": 3.96,
+    "nov_2011_guest_revenue_share_pct": 21.65,
+    "nov_2011_guest_avg_revenue_per_order": 2895.41,
+    "cohort_2010_12_m11_retention_pct": 50.17,
+    "average_m1_retention_pct": 20.45,
+}
+
+
+def table(text: str, width: int | None = None) -> list[tuple]:
+    """Rows of a text table; '-' and missing trailing cells are None."""
+    rows = []
+    for line in text.split("\n"):
+        cells = [_value(cell) for cell in line.split()]
+        if cells:
+            rows.append(tuple(cells + [None] * ((width or len(cells)) - len(cells))))
+    return rows
+
+
+def _value(cell: str):
+    if cell == "-":
+        return None
+    for kind in (int, float):
+        try:
+            return kind(cell)
+        except ValueError:
+            continue
+    return cell

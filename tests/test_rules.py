@@ -1,0 +1,233 @@
+"""Cleaning, profiles, KPI, cohorts and guests on hand-made lines."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from helpers import line, lines
+
+from tillwise.config import AnalysisConfig, CleaningRules, DayWindow
+from tillwise.operators import cleaning, cohort, facts, guest, kpi, profile, quality
+
+RULES = CleaningRules()
+CONFIG = AnalysisConfig()
+
+
+def clean_facts(spark, *rows):
+    return facts.line_facts(lines(spark, *rows), RULES)
+
+
+def invoices(frame):
+    return sorted(r["InvoiceNo"] or "" for r in frame.select("InvoiceNo").collect())
+
+
+def test_rules_at_their_limits(spark):
+    frame = lines(
+        spark,
+        line("1"),
+        line("C2"),
+        line("c3"),
+        line(None),
+        line("4", code="POST"),
+        line("5", code="12345"),
+        line("6", code=None),
+        line("7", quantity=0),
+        line("8", quantity=-1),
+        line("9", quantity=None),
+        line("10", price="0"),
+        line("11", price=None),
+        line("12", price="0.001"),
+        line("13", quantity=74215),
+        line("14", quantity=80995),
+        line("15", quantity=74214),
+    )
+    assert invoices(cleaning.clean(frame, RULES)) == ["1", "12", "15", "5", "c3"]
+    counts = quality.step_counts(frame, RULES).first()
+    assert list(counts) == [16, 14, 12, 9, 7, 5]
+    assert list(quality.step_counts_of_ledger(facts.order_ledger(frame, RULES), RULES).first()) == list(counts)
+
+
+def test_each_rule_alone(spark):
+    frame = lines(spark, line("1"), line("C2", code="POST", quantity=-1, price="0"), line("3", quantity=80995))
+    names = [step.name for step in cleaning.cleaning_steps(RULES)]
+    assert len(names) == 5
+    kept = {name: invoices(cleaning.apply_step(frame, RULES, name)) for name in names}
+    assert kept["remove_quantity_outliers"] == ["1", "C2"]
+    assert all(kept[name] == ["1", "3"] for name in names[:4])
+
+
+def test_funnel_of_nothing(spark):
+    rows = quality.quality_steps(quality.step_counts(lines(spark), RULES), RULES).collect()
+    assert [(r["rows_remaining"], r["rows_removed_from_previous"], r["rows_remaining_pct"]) for r in rows] == [
+        (0, 0, None)
+    ] * 6
+
+
+def test_enrich(spark):
+    rows = cleaning.enrich(
+        lines(spark, line(quantity=3, price="0.0015", when="2010-12-31 23:59:59"), line(customer=None))
+    ).collect()
+    assert float(rows[0]["line_revenue"]) == 0.0045
+    assert (rows[0]["customer_key"], rows[1]["customer_key"]) == ("17850", "Guest")
+    assert (rows[0]["order_date"], rows[0]["order_month"]) == (date(2010, 12, 31), "2010-12")
+
+
+def test_guests_of_a_day_are_one_customer(spark):
+    frame = clean_facts(
+        spark,
+        line("1", customer=None),
+        line("2", customer=None),
+        line("3", customer=1),
+        line("4", customer=1),
+        line("4", customer=2),
+    )
+    days = kpi.daily_stats(frame, DayWindow(date(2010, 12, 1), date(2010, 12, 2))).orderBy("order_date").collect()
+    assert [(r["daily_customers"], r["daily_orders"], float(r["daily_revenue"])) for r in days] == [
+        (3, 4, 12.5),
+        (0, 0, 0.0),
+    ]
+
+
+def test_empty_days_count_and_the_last_month_is_short(spark):
+    window = DayWindow(date(2010, 12, 1), date(2011, 2, 4))
+    frame = clean_facts(spark, line(price="62"), line(when="2011-02-04 23:59:59", price="10"), line(when="2011-02-05 00:00:00"))
+    months = kpi.add_mom(kpi.monthly_kpi(kpi.daily_stats(frame, window))).orderBy("order_month").collect()
+    assert [(r["order_month"], r["avg_daily_revenue"]) for r in months] == [
+        ("2010-12", 2.0),
+        ("2011-01", 0.0),
+        ("2011-02", 2.5),
+    ]
+    assert [r["revenue_mom_pct"] for r in months] == [None, -100.0, None]
+    assert months[2]["avg_daily_orders"] == 0.25
+
+
+def test_change_uses_rounded_averages(spark):
+    averages = "order_month string, avg_daily_revenue double, avg_daily_customers double, avg_daily_orders double"
+    frame = spark.createDataFrame([("2011-01", 0.33, 0.33, 0.33), ("2011-02", 0.67, 0.67, 0.67)], averages)
+    assert kpi.add_mom(frame).orderBy("order_month").collect()[1]["revenue_mom_pct"] == 103.03
+
+
+def test_halves_round_away_from_zero(spark):
+    window = DayWindow(date(2010, 12, 1), date(2010, 12, 8))
+    frame = clean_facts(spark, line(price="0.04"))
+    assert kpi.monthly_kpi(kpi.daily_stats(frame, window)).first()["avg_daily_revenue"] == 0.01
+
+
+def test_retention_offsets(spark):
+    frame = clean_facts(
+        spark,
+        line("1", customer=1),
+        line("2", customer=1, when="2011-11-30 10:00:00"),
+        line("3", customer=1, when="2011-12-01 10:00:00"),
+        line("4", customer=2, when="2011-12-09 10:00:00"),
+        line("5", customer=None, when="2011-01-09 10:00:00"),
+    )
+    assert sorted(
+        (r["customer_id"], r["cohort_month"], r["month_diff"]) for r in cohort.orders_with_cohort(frame).collect()
+    ) == [("1", "2010-12", 0), ("1", "2010-12", 11), ("1", "2010-12", 12), ("2", "2011-12", 0)]
+    long = cohort.cohort_retention(frame, CONFIG)
+    assert sorted(tuple(r) for r in long.collect()) == [
+        ("2010-12", 0, 1, 1, 100.0),
+        ("2010-12", 11, 1, 1, 100.0),
+        ("2011-12", 0, 1, 1, 100.0),
+    ]
+    matrix = {r["cohort_month"]: tuple(r)[1:] for r in cohort.cohort_matrix(long, CONFIG).collect()}
+    assert matrix == {"2010-12": (1, *[None] * 10, 100.0), "2011-12": (1, *[None] * 11)}
+
+
+def test_join_form_agrees_with_window_form(spark):
+    frame = clean_facts(
+        spark, *[line(str(n), customer=n % 5, when=f"2011-{n % 12 + 1:02d}-1{n % 10} 10:00:00") for n in range(60)]
+    )
+    joined = cohort.join_first_orders(frame, cohort.first_orders(frame))
+    pairs = joined.select("customer_id", "cohort_month", "month_diff").distinct()
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, cohort.orders_with_cohort(frame).collect()))
+
+
+def test_orders_per_month_and_mixed_invoices(spark):
+    frame = clean_facts(
+        spark,
+        line("1", customer=None, price="10"),
+        line("1", customer=None, price="5", when="2011-01-01 00:10:00"),
+        line("2", customer=None, price="1"),
+        line("2", customer=7, price="2"),
+        line("3", customer=8, price="20", when="2011-02-01 00:10:00"),
+    )
+    orders = sorted((r["order_month"], r["InvoiceNo"], float(r["order_revenue"]), r["is_guest"]) for r in guest.order_level(frame).collect())
+    assert orders == [
+        ("2010-12", "1", 10.0, True),
+        ("2010-12", "2", 3.0, False),
+        ("2011-01", "1", 5.0, True),
+        ("2011-02", "3", 20.0, False),
+    ]
+    metrics = guest.guest_metrics(guest.order_level(frame)).orderBy("order_month").collect()
+    assert [tuple(r) for r in metrics] == [
+        ("2010-12", 1, 2, 50.0, 76.92, 10.0),
+        ("2011-01", 1, 1, 100.0, 100.0, 5.0),
+        ("2011-02", 0, 1, 0.0, 0.0, None),
+    ]
+
+
+def test_profiles(spark):
+    frame = lines(
+        spark,
+        line("1"),
+        line("C1", when="2011-01-01 00:00:01"),
+        line(None, customer=None),
+        line("2", customer=None, price="1", quantity=4),
+    )
+    raw = tuple(profile.profile_raw(frame).first())
+    assert raw == (4, 8, "2010-12-01 08:26:00", "2011-01-01 00:00:01", 3, 1)
+    ledger = facts.order_ledger(frame, RULES)
+    assert tuple(profile.profile_raw_of_ledger(ledger).first()) == raw
+    clean = tuple(profile.profile_clean(facts.line_facts(frame, RULES)).first())
+    assert clean == (2, 6.5, 2, 2, 1, 50.0)
+    assert tuple(profile.profile_clean(facts.ledger_facts(ledger, RULES)).first()) == clean
+
+
+def test_outlier_effect(spark):
+    frame = lines(
+        spark,
+        line("1", when="2011-01-31 12:00:00", price="31"),
+        line("2", when="2011-01-18 10:01:00", quantity=74215, price="1"),
+        line("3", when="2011-02-18 10:01:00", quantity=80995, price="1"),
+    )
+    month = CONFIG.window.month("2011-01")
+    by_lines = quality.outlier_sensitivity(quality.daily_revenue_by_rule(frame, RULES, month), month)
+    ledger = facts.order_ledger(frame, RULES)
+    by_ledger = quality.outlier_sensitivity(quality.daily_revenue_by_rule_of_ledger(ledger, month), month)
+    assert tuple(by_lines.first()) == tuple(by_ledger.first()) == ("2011-01", 2395.03, 1.0)
+    assert invoices(quality.outlier_rows(frame, RULES)) == ["2", "3"]
+    note = quality.consistency_note(by_lines, quality.costliest_outlier(frame, RULES, month), CONFIG)
+    assert note.first().asDict() == {
+        "jan_avg_daily_revenue_without_quantity_outlier_filter": 2395.03,
+        "jan_avg_daily_revenue_with_quantity_outlier_filter": 1.0,
+        "outlier_invoice": "2",
+        "outlier_quantity": 74215,
+        "outlier_revenue": 74215.0,
+    }
+
+
+def test_outlier_effect_without_lines(spark):
+    month = CONFIG.window.month("2011-01")
+    empty = lines(spark)
+    effect = quality.outlier_sensitivity(quality.daily_revenue_by_rule(empty, RULES, month), month)
+    assert tuple(effect.first()) == ("2011-01", 0.0, 0.0)
+    assert tuple(quality.costliest_outlier(empty, RULES, month).first()) == (None, None, None)
+
+
+def test_output_check(spark):
+    frame = spark.createDataFrame(
+        [(1.0, "a"), (float("nan"), None), (float("inf"), "b"), (None, "c")], "x double, y string"
+    )
+    assert [tuple(r) for r in quality.output_check(frame).collect()] == [("x", 1, 1, 1), ("y", 1, 0, 0)]
+
+
+def test_windows():
+    assert DayWindow().days == 374
+    assert DayWindow().last_month_is_partial
+    assert not DayWindow(date(2011, 1, 1), date(2011, 2, 28)).last_month_is_partial
+    assert DayWindow().month("2011-12").days == 9
+    with pytest.raises(ValueError):
+        DayWindow(date(2011, 1, 2), date(2011, 1, 1))

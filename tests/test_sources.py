@@ -1,0 +1,148 @@
+"""Readers, writers, the command line and the shared folder."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from helpers import line, lines
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tillwise.__main__ import main
+from tillwise.operators import documents
+from tillwise.plans.growth import growth_report
+from tillwise.registry import STAR_CONFIG
+from tillwise.sources import LINE_SCHEMA, conform, read_csv, read_table, shared_path, stage, star_lines
+
+HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+
+
+def csv(tmp_path, *rows, bom=False):
+    path = tmp_path / "lines.csv"
+    path.write_text(HEADER + "\n".join(rows) + "\n", encoding="utf-8-sig" if bom else "utf-8")
+    return str(path)
+
+
+@pytest.mark.parametrize("bom", [False, True])
+def test_csv_ids_written_as_floats(spark, tmp_path, bom):
+    path = csv(
+        tmp_path,
+        '536365,85123A,"HOLDER, WHITE",6,2010-12-01 08:26:00,2.55,17850.0,United Kingdom',
+        "C536366,POST,,-1,2010-12-01 08:28:00,0.001,,France",
+        bom=bom,
+    )
+    frame = read_csv(spark, path)
+    assert frame.dtypes == [(f.name, f.dataType.simpleString()) for f in LINE_SCHEMA]
+    first, second = frame.collect()
+    assert (first["CustomerID"], first["Description"], float(first["UnitPrice"])) == (17850, "HOLDER, WHITE", 2.55)
+    assert (second["CustomerID"], second["Description"], float(second["UnitPrice"])) == (None, None, 0.001)
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "1,85123A,x,6,yesterday,2.55,17850.0,UK",
+        "1,85123A,x,six,2010-12-01 08:26:00,2.55,17850.0,UK",
+        "1,85123A,x,6,2010-12-01 08:26:00,2.55,member,UK",
+    ],
+)
+def test_csv_that_does_not_parse_fails(spark, tmp_path, bad):
+    with pytest.raises((PySparkException, Py4JError)):
+        read_csv(spark, csv(tmp_path, bad)).collect()
+
+
+def test_csv_with_other_columns_fails(spark, tmp_path):
+    path = tmp_path / "other.csv"
+    path.write_text(HEADER.replace("Quantity", "Amount") + "1,85123A,x,6,2010-12-01 08:26:00,2.55,1,UK\n")
+    with pytest.raises((PySparkException, Py4JError)):
+        read_csv(spark, str(path)).collect()
+
+
+def test_csv_timestamp_format_and_null_marker(spark, tmp_path):
+    path = csv(tmp_path, "1,85123A,NA,6,12/1/2010 8:26,2.55,NA,UK")
+    row = read_csv(spark, path, timestamp_format="M/d/yyyy H:mm", null_value="NA").first()
+    assert str(row["InvoiceDate"]) == "2010-12-01 08:26:00"
+    assert row["CustomerID"] is None and row["Description"] is None
+
+
+def test_table_by_path_and_name(spark, tmp_path):
+    frame = lines(spark, line("1"), line("2", customer=None))
+    frame.write.parquet(str(tmp_path / "lines"))
+    assert sorted(map(str, read_table(spark, str(tmp_path / "lines")).collect())) == sorted(map(str, frame.collect()))
+    frame.withColumn("CustomerID", F.col("CustomerID").cast("double")).createOrReplaceTempView("shop_lines")
+    assert [r["CustomerID"] for r in read_table(spark, "shop_lines").orderBy("InvoiceNo").collect()] == [17850, None]
+
+
+def test_missing_columns_are_named(spark):
+    with pytest.raises(ValueError, match="Country"):
+        conform(lines(spark, line()).drop("Country"))
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    path = shared_path(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert path != shared_path(spark, "x")
+
+
+def test_staged_frame_is_the_frame(spark):
+    frame = lines(spark, line("1"), line("2", customer=None))
+    assert sorted(map(str, stage(frame, "x").collect())) == sorted(map(str, frame.collect()))
+
+
+def test_star_lines_without_unneeded_joins(spark):
+    full = star_lines(spark, "/root/testdata/sf0.001")
+    assert full.count() == 6000
+    narrow = star_lines(spark, "/root/testdata/sf0.001", ["InvoiceNo", "Quantity"])
+    assert narrow.columns == ["InvoiceNo", "Quantity"]
+    assert "Join" not in narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert narrow.exceptAll(full.select("InvoiceNo", "Quantity")).isEmpty()
+    assert full.select("InvoiceNo", "Quantity").exceptAll(narrow).isEmpty()
+
+
+def test_report_files(spark, tmp_path):
+    report = growth_report(star_lines(spark, "/root/testdata/sf0.001"), STAR_CONFIG, "lineitem")
+    out = str(tmp_path / "out")
+    report.write(out)
+
+    kpi = spark.read.option("header", True).schema(report.monthly_kpi.schema).csv(f"{out}/monthly_kpi.csv")
+    assert [tuple(r) for r in kpi.collect()] == [tuple(r) for r in report.monthly_kpi.orderBy("order_month").collect()]
+    steps = spark.read.option("header", True).csv(f"{out}/data_quality_steps.csv")
+    assert [r["step"] for r in steps.collect()][0] == "raw"
+    long = spark.read.option("header", True).csv(f"{out}/cohort_retention_long.csv").collect()
+    assert [(r["cohort_month"], int(r["month_diff"])) for r in long] == sorted(
+        (r["cohort_month"], int(r["month_diff"])) for r in long
+    )
+
+    bundle = spark.read.option("multiLine", True).json(f"{out}/dashboard_data.json").first().asDict(recursive=True)
+    assert set(bundle) == {"summary", "data_quality", "monthly_kpi", "cohort_retention_matrix", "guest_metrics"}
+    assert [r["order_month"] for r in bundle["monthly_kpi"]] == sorted(r["order_month"] for r in bundle["monthly_kpi"])
+    assert len(bundle["monthly_kpi"]) == 80
+    text = spark.read.text(f"{out}/analysis_summary.json", wholetext=True).first()[0]
+    summary = json.loads(text)
+    assert list(summary) == ["dataset", "cleaned", "data_quality", "consistency_note", "insights"]
+    assert summary["dataset"]["raw_rows"] == 6000 and summary["dataset"]["source_file"] == "lineitem"
+    assert [s["rows_remaining"] for s in summary["data_quality"]] == [6000, 4999, 4891, 3943, 3931, 3768]
+    assert bundle["summary"]["cleaned"]["rows"] == 3768
+
+
+def test_json_keeps_nulls(spark):
+    row = spark.createDataFrame([(1, None)], "a int, b string")
+    assert documents.to_json_text(row).first()[0] == '{"a":1,"b":null}'
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path = csv(
+        tmp_path,
+        "1,85123A,x,6,2010-12-01 08:26:00,2.55,17850.0,UK",
+        "2,85123A,x,1,2011-01-04 10:00:00,2.55,,UK",
+        "541431,23166,JAR,74215,2011-01-18 10:01:00,1.04,12346.0,UK",
+    )
+    main([path, str(tmp_path / "out")])
+    summary = json.loads(capsys.readouterr().out)
+    assert summary["dataset"]["source_file"] == "lines.csv"
+    assert summary["consistency_note"]["outlier_invoice"] == "541431"
+    assert summary["consistency_note"]["outlier_revenue"] == 77183.6
+    assert summary["cleaned"]["rows"] == 2
+    assert summary["insights"]["nov_2011_guest_order_share_pct"] is None

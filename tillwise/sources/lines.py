@@ -40,8 +40,13 @@ def read_csv(
     timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
     null_value: str = "",
     encoding: str = "UTF-8",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Lines from CSV with declared types; a value that does not parse fails the read."""
+    """Lines from CSV with declared types; a value that does not parse fails the read.
+
+    Only the empty field is NULL unless ``null_value`` names another marker. ``multi_line`` allows
+    line breaks inside quotes, at the price of one task per file.
+    """
     raw = (
         spark.read.schema(_CSV_SCHEMA)
         .option("header", True)
@@ -50,6 +55,7 @@ def read_csv(
         .option("timestampNTZFormat", timestamp_format)
         .option("nullValue", null_value)
         .option("encoding", encoding)
+        .option("multiLine", multi_line)
         .csv(path)
     )
     return conform(raw)
