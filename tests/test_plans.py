@@ -82,6 +82,9 @@ def test_filters_and_columns_reach_the_scan(table):
         assert part in pushed.replace(" ", ""), (part, pushed)
     assert "Description" not in plan and "Country" not in plan
 
+    plan = plan_of(kpi.daily_stats(facts.line_facts(table, RULES), WINDOW))
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(InvoiceDate,1995-01-01", plan)
+
     month = WINDOW.month("2000-01")
     plan = plan_of(quality.daily_revenue_by_rule(table, RULES, month))
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(InvoiceDate,2000-01-01", plan)

@@ -14,6 +14,7 @@ from tillwise.__main__ import main
 from tillwise.operators import documents
 from tillwise.plans.growth import growth_report
 from tillwise.registry import STAR_CONFIG
+from tillwise.session import settings_for
 from tillwise.sources import LINE_SCHEMA, conform, read_csv, read_table, shared_path, stage, star_lines
 
 HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
@@ -146,3 +147,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert summary["consistency_note"]["outlier_revenue"] == 77183.6
     assert summary["cleaned"]["rows"] == 2
     assert summary["insights"]["nov_2011_guest_order_share_pct"] is None
+
+
+def test_settings_follow_the_input():
+    small, huge = settings_for(10**9), settings_for(100 * 10**12)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert 10_000 < int(huge["spark.sql.shuffle.partitions"]) <= 50_000

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from tillwise.config import AnalysisConfig, DayWindow
 from tillwise.plans.growth import growth_report
+from tillwise.session import apply_settings
 from tillwise.sources import read_csv, read_table
 
 
@@ -19,9 +20,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--first-day", type=date.fromisoformat, default=DayWindow().start)
     parser.add_argument("--last-day", type=date.fromisoformat, default=DayWindow().end)
     parser.add_argument("--timestamp-format", default="yyyy-MM-dd HH:mm:ss", help="of InvoiceDate in CSV")
+    parser.add_argument("--input-gb", type=float, help="size of the lines; sets scan and shuffle sizes to match")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("tillwise").getOrCreate()
+    if args.input_gb is not None:
+        apply_settings(spark, int(args.input_gb * 2**30))
     if args.lines.endswith(".csv"):
         lines = read_csv(spark, args.lines, timestamp_format=args.timestamp_format)
     else:

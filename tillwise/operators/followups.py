@@ -77,7 +77,14 @@ def guest_orders(lines: DataFrame, rules: CleaningRules) -> DataFrame:
             F.sum(line_revenue()).alias("order_revenue"),
         )
         .filter("is_guest")
-        .select("InvoiceNo", month_text(F.col("first_ts")).alias("order_month"), "country", "lines", "units", "order_revenue")
+        .select(
+            "InvoiceNo",
+            month_text(F.col("first_ts")).alias("order_month"),
+            "country",
+            "lines",
+            "units",
+            "order_revenue",
+        )
     )
 
 
@@ -137,9 +144,14 @@ def order_size_band() -> Column:
 
 
 def guest_lead_products(lines: DataFrame, rules: CleaningRules, leads: DataFrame) -> DataFrame:
-    """Products in the high-value guest orders: in how many orders, units and revenue."""
+    """Products in the high-value guest orders: in how many orders, units and revenue.
+
+    Lines are combined to one row per order and product before the join, so the line count of an
+    order has no bearing on it.
+    """
     per_order = (
         clean(lines, rules)
+        .filter(F.col("CustomerID").isNull())
         .groupBy("InvoiceNo", "StockCode")
         .agg(F.sum("Quantity").alias("units"), F.sum(line_revenue()).alias("revenue"))
         .join(leads.select("InvoiceNo"), "InvoiceNo", "left_semi")
@@ -195,12 +207,13 @@ def recontact_list(facts: DataFrame, last_day: Column) -> DataFrame:
 
     A contact is due if the member has not bought again up to that day and the day is observed.
     """
-    due = F.date_add("first_day", F.col("after_days"))
+    observed = F.col("contact_day") <= last_day
+    not_back = F.col("second_day").isNull() | (F.col("second_day") > F.col("contact_day"))
     return (
         member_returns(facts)
         .withColumn("after_days", F.explode(F.array(*[F.lit(d) for d in RECONTACT_DAYS])))
-        .withColumn("contact_day", due)
-        .filter((F.col("contact_day") <= last_day) & (F.col("second_day").isNull() | (F.col("second_day") > F.col("contact_day"))))
+        .withColumn("contact_day", F.date_add("first_day", F.col("after_days")))
+        .filter(observed & not_back)
         .select(F.col("CustomerID").cast("string").alias("customer_id"), "first_day", "after_days", "contact_day")
     )
 
