@@ -91,7 +91,9 @@ def test_guests_of_a_day_are_one_customer(spark):
 
 def test_empty_days_count_and_the_last_month_is_short(spark):
     window = DayWindow(date(2010, 12, 1), date(2011, 2, 4))
-    frame = clean_facts(spark, line(price="62"), line(when="2011-02-04 23:59:59", price="10"), line(when="2011-02-05 00:00:00"))
+    frame = clean_facts(
+        spark, line(price="62"), line(when="2011-02-04 23:59:59", price="10"), line(when="2011-02-05 00:00:00")
+    )
     months = kpi.add_mom(kpi.monthly_kpi(kpi.daily_stats(frame, window))).orderBy("order_month").collect()
     assert [(r["order_month"], r["avg_daily_revenue"]) for r in months] == [
         ("2010-12", 2.0),
@@ -154,8 +156,8 @@ def test_orders_per_month_and_mixed_invoices(spark):
         line("2", customer=7, price="2"),
         line("3", customer=8, price="20", when="2011-02-01 00:10:00"),
     )
-    orders = sorted((r["order_month"], r["InvoiceNo"], float(r["order_revenue"]), r["is_guest"]) for r in guest.order_level(frame).collect())
-    assert orders == [
+    orders = guest.order_level(frame).orderBy("order_month", "InvoiceNo").collect()
+    assert [(r["order_month"], r["InvoiceNo"], float(r["order_revenue"]), r["is_guest"]) for r in orders] == [
         ("2010-12", "1", 10.0, True),
         ("2010-12", "2", 3.0, False),
         ("2011-01", "1", 5.0, True),

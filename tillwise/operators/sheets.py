@@ -89,9 +89,15 @@ def with_headers(sheet: DataFrame, headers: Mapping[str, str]) -> DataFrame:
 def metric_cards(cleaned: DataFrame, headline: DataFrame, config: AnalysisConfig) -> DataFrame:
     """The four headline cards: label, value and note, values as display text."""
     month = month_bounds(config.months.peak)[0].month
-    columns = headline.columns
-    peak_revenue, order_share, revenue_share, m1 = (F.col(columns[i]) for i in (0, 3, 4, 7))
-    values = [thousands(F.col("revenue"), 2), thousands(peak_revenue, 2), percent_text(revenue_share), percent_text(m1)]
+    # The headline values by position, as their names carry the month.
+    peak_revenue, order_share, revenue_share, m1 = (F.col(headline.columns[i]) for i in (0, 3, 4, 7))
+    order_share = percent_text(order_share)
+    values = [
+        thousands(F.col("revenue"), 2),
+        thousands(peak_revenue, 2),
+        percent_text(revenue_share),
+        percent_text(m1),
+    ]
     cards = []
     for position, (label, value, note) in enumerate(zip(CARD_LABELS, values, CARD_NOTES, strict=True), start=1):
         before, share, after = note.partition("{share}")
@@ -100,9 +106,7 @@ def metric_cards(cleaned: DataFrame, headline: DataFrame, config: AnalysisConfig
                 F.lit(position).alias("position"),
                 F.lit(label.format(month=month)).alias("label"),
                 value.alias("value"),
-                (F.concat(F.lit(before), percent_text(order_share), F.lit(after)) if share else F.lit(note)).alias(
-                    "note"
-                ),
+                (F.concat(F.lit(before), order_share, F.lit(after)) if share else F.lit(note)).alias("note"),
             )
         )
     return side_by_side(cleaned.select("revenue"), headline).select(F.inline(F.array(*cards)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillwise import sinks
 from tillwise.config import AnalysisConfig
@@ -14,20 +15,26 @@ from tillwise.sources.shared import stage
 
 @dataclass(frozen=True)
 class GrowthReport:
-    """Lazy result tables that share one staged ledger."""
+    """Lazy results over one ledger; the properties derive from the fields."""
 
     config: AnalysisConfig
     source_file: str
     raw_profile: DataFrame
     clean_profile: DataFrame
-    quality_steps: DataFrame
     quality_records: DataFrame
     consistency_note: DataFrame
     monthly_kpi: DataFrame
     cohort_retention_long: DataFrame
-    cohort_retention_matrix: DataFrame
     guest_metrics: DataFrame
 
+    @property
+    def quality_steps(self) -> DataFrame:
+        return self.quality_records.select(F.inline("data_quality"))
+
+    @property
+    def cohort_retention_matrix(self) -> DataFrame:
+        return cohort.cohort_matrix(self.cohort_retention_long, self.config)
+
     @property
     def insights(self) -> DataFrame:
         return profile.insights(self.monthly_kpi, self.cohort_retention_matrix, self.guest_metrics, self.config)
@@ -49,19 +56,25 @@ class GrowthReport:
             self.summary, self.quality_records, self.monthly_kpi, self.cohort_retention_matrix, self.guest_metrics
         )
 
+    def settled(self) -> GrowthReport:
+        """The same report with every field computed once, as a small staged table."""
+        tables = {f.name: getattr(self, f.name) for f in fields(self)}
+        return replace(self, **{name: stage(t, name) for name, t in tables.items() if isinstance(t, DataFrame)})
+
     def write(self, folder: str) -> None:
         """The five result tables as CSV and the two documents as JSON."""
+        done = self.settled()
         tables = {
-            "data_quality_steps": (self.quality_steps, []),
-            "monthly_kpi": (self.monthly_kpi, ["order_month"]),
-            "cohort_retention_long": (self.cohort_retention_long, ["cohort_month", "month_diff"]),
-            "cohort_retention_matrix": (self.cohort_retention_matrix, ["cohort_month"]),
-            "guest_metrics": (self.guest_metrics, ["order_month"]),
+            "data_quality_steps": (done.quality_steps, []),
+            "monthly_kpi": (done.monthly_kpi, ["order_month"]),
+            "cohort_retention_long": (done.cohort_retention_long, ["cohort_month", "month_diff"]),
+            "cohort_retention_matrix": (done.cohort_retention_matrix, ["cohort_month"]),
+            "guest_metrics": (done.guest_metrics, ["order_month"]),
         }
         for name, (frame, order_by) in tables.items():
             sinks.write_csv(frame, f"{folder}/{name}.csv", order_by)
-        sinks.write_json(self.dashboard, f"{folder}/dashboard_data.json")
-        sinks.write_json(self.summary, f"{folder}/analysis_summary.json")
+        sinks.write_json(done.dashboard, f"{folder}/dashboard_data.json")
+        sinks.write_json(done.summary, f"{folder}/analysis_summary.json")
 
 
 def growth_report(lines: DataFrame, config: AnalysisConfig, source_file: str = "") -> GrowthReport:
@@ -80,7 +93,6 @@ def report_of_ledger(
     rules, base = config.rules, config.window.month(config.months.base)
     clean = facts.ledger_facts(ledger, rules)
     counts = quality.step_counts_of_ledger(ledger, rules)
-    retention = cohort.cohort_retention(clean, config)
     sensitivity = quality.outlier_sensitivity(quality.daily_revenue_by_rule_of_ledger(ledger, base), base)
     outlier = quality.costliest_outlier(lines, rules, base)
     return GrowthReport(
@@ -88,11 +100,9 @@ def report_of_ledger(
         source_file=source_file,
         raw_profile=profile.profile_raw_of_ledger(ledger),
         clean_profile=profile.profile_clean(clean),
-        quality_steps=quality.quality_steps(counts, rules),
         quality_records=quality.quality_records(counts, rules),
         consistency_note=quality.consistency_note(sensitivity, outlier, config),
         monthly_kpi=kpi.add_mom(kpi.monthly_kpi(kpi.daily_stats(clean, config.window))),
-        cohort_retention_long=retention,
-        cohort_retention_matrix=cohort.cohort_matrix(retention, config),
+        cohort_retention_long=cohort.cohort_retention(clean, config),
         guest_metrics=guest.guest_metrics(guest.order_level(clean)),
     )

@@ -93,6 +93,11 @@ def _sensitivity(lines: DataFrame) -> DataFrame:
     return quality.outlier_sensitivity(quality.daily_revenue_by_rule(lines, RULES, BASE), BASE)
 
 
+def _consistency(lines: DataFrame) -> DataFrame:
+    outlier = quality.costliest_outlier(lines, RULES, BASE)
+    return quality.consistency_note(_sensitivity(lines), outlier, STAR_CONFIG)
+
+
 def _join_first_orders(clean: DataFrame) -> DataFrame:
     return cohort.join_first_orders(clean, cohort.first_orders(clean))
 
@@ -106,7 +111,8 @@ def _scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "lines")
     star_lines(spark, sf_dir, LINE_COLUMNS).write.parquet(path)
-    return portable(cleaning.clean(read_table(spark, path), RULES).select("InvoiceNo", "InvoiceDate", "Quantity", "CustomerID"))
+    clean = cleaning.clean(read_table(spark, path), RULES)
+    return portable(clean.select("InvoiceNo", "InvoiceDate", "Quantity", "CustomerID"))
 
 
 def _scalars(lines: DataFrame) -> DataFrame:
@@ -211,9 +217,9 @@ def queries() -> dict[str, Query]:
         "outlier_rows": _lines(lambda lines: quality.outlier_rows(lines, RULES), CLEAN_DATED),
         "profile_raw": _lines(profile.profile_raw, ["InvoiceNo", "InvoiceDate", "CustomerID"]),
         "profile_clean": _facts(profile.profile_clean),
-        "consistency_note": _report(lambda report: report.consistency_note),
-        "consistency_sentence": _report(
-            lambda report: sheets.consistency_sentence(report.consistency_note, STAR_CONFIG)
+        "consistency_note": _lines(_consistency, CLEAN_DATED),
+        "consistency_sentence": _lines(
+            lambda lines: sheets.consistency_sentence(_consistency(lines), STAR_CONFIG), CLEAN_DATED
         ),
         "output_check": _facts(lambda clean: quality.output_check(_monthly_mom(clean))),
         "output_check_matrix": _facts(lambda clean: quality.output_check(_matrix(clean))),

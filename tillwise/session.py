@@ -19,6 +19,8 @@ def settings_for(input_bytes: int) -> dict[str, str]:
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A sort-merge join whose smaller side fits this bound per partition skips the sorts.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(128 * MB),
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MB),

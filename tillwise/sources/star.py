@@ -29,7 +29,8 @@ def star_lines(spark: SparkSession, sf_dir: str, columns: Iterable[str] = LINE_C
     is_return = F.col("l_returnflag") == "R"
     order_text = F.col("l_orderkey").cast("string")
     part_text = F.col("l_partkey").cast("string")
-    padded = F.when(F.length(part_text) < 6, F.lpad(part_text, 6, "0")).otherwise(part_text)
+    # lpad would cut a longer key down to six digits.
+    padded = F.when(F.col("l_partkey") < 10**6, F.lpad(part_text, 6, "0")).otherwise(part_text)
 
     frame = table("lineitem").select(
         F.when(is_return & (F.col("l_linestatus") == "O"), F.concat(F.lit("C"), order_text))
