@@ -204,3 +204,38 @@ def test_hot_keys_are_split_in_the_sort_merge_join(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize(
+    "settings",
+    [
+        {"spark.sql.session.timeZone": "America/Sao_Paulo"},
+        {"spark.sql.session.timeZone": "Pacific/Apia"},
+        {"spark.sql.ansi.enabled": "false"},
+        {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "3"},
+    ],
+    ids=str,
+)
+def test_results_do_not_depend_on_the_session(spark, settings):
+    names = [
+        "scalar_functions",
+        "monthly_kpi_mom",
+        "cohort_retention_matrix",
+        "guest_metrics",
+        "profile_raw",
+        "outlier_sensitivity",
+        "ext_seasonality",
+        "ext_recontact",
+        "summary_values",
+    ]
+    sf = f"{TESTDATA}/sf0.001"
+    expected = {name: rows_of(queries()[name](spark, sf)) for name in names}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        for name in names:
+            assert rows_of(queries()[name](spark, sf)) == expected[name], name
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

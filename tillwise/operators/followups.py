@@ -121,11 +121,8 @@ def exact_quantile(frame: DataFrame, column: str, q: float, scale: int = 4, bits
 
 def high_value_guests(orders: DataFrame, q: float = 0.9) -> DataFrame:
     """Guest orders at or above the exact q-quantile of guest order revenue: a list of leads."""
-    threshold = exact_quantile(orders, "order_revenue", q)
-    if threshold is None:
-        return orders.withColumn("threshold", F.lit(None).cast("double")).limit(0)
-    limit = F.lit(threshold).cast("decimal(38,0)") / F.lit(10**4)
-    return orders.filter(F.col("order_revenue") >= limit).withColumn("threshold", round2(limit))
+    threshold = F.lit(exact_quantile(orders, "order_revenue", q)).cast("decimal(38,0)") / F.lit(10**4)
+    return orders.filter(F.col("order_revenue") >= threshold).withColumn("threshold", round2(threshold))
 
 
 def guest_leads_by(leads: DataFrame, key: Column, name: str) -> DataFrame:

@@ -42,8 +42,8 @@ def portable(frame: DataFrame) -> DataFrame:
             value = value.cast("double")
         elif isinstance(field.dataType, T.DateType):
             value = F.date_format(value, "yyyy-MM-dd")
-        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(field.dataType, T.TimestampNTZType):
+            value = value.cast("string")
         columns.append(value.alias(field.name))
     return frame.select(*columns)
 
@@ -118,7 +118,7 @@ def _scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scalars(lines: DataFrame) -> DataFrame:
     """Every scalar function of the analyses on every line."""
     day, code = F.to_date("InvoiceDate"), F.col("StockCode")
-    ts_text = F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss")
+    ts_text = F.col("InvoiceDate").cast("string")
     start = F.lit(STAR_CONFIG.window.start)
     revenue, price = cleaning.line_revenue(), F.col("UnitPrice")
     return lines.select(
@@ -130,7 +130,7 @@ def _scalars(lines: DataFrame) -> DataFrame:
         cleaning.customer_key().alias("customer_key"),
         F.col("CustomerID").isNull().alias("is_anonymous"),
         F.when(F.col("Quantity") > 25, "large").otherwise("small").alias("size"),
-        F.to_timestamp(ts_text, "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz").alias("parsed_ts"),
+        F.to_timestamp_ntz(ts_text, F.lit("yyyy-MM-dd HH:mm:ss")).alias("parsed_ts"),
         day.alias("order_date"),
         fn.month_text(day).alias("order_month"),
         F.trunc(day, "month").alias("month_start"),
@@ -164,6 +164,15 @@ def _dashboard_tables(report: GrowthReport) -> DataFrame:
     return report.dashboard.select(*[F.size(name).alias(f"{name}_records") for name in names])
 
 
+def _dashboard_table(name: str) -> Query:
+    """One table of the dashboard bundle, as numbered rows again."""
+
+    def build(report: GrowthReport) -> DataFrame:
+        return report.dashboard.select(F.posexplode(name).alias("position", "record")).select("position", "record.*")
+
+    return _report(build)
+
+
 def _cards(report: GrowthReport) -> DataFrame:
     return sheets.metric_cards(report.clean_profile, report.insights, STAR_CONFIG)
 
@@ -231,6 +240,10 @@ def queries() -> dict[str, Query]:
         "summary_values": _report(_summary_values),
         "dashboard_bundle": _report(lambda report: documents.to_json_text(report.dashboard)),
         "dashboard_tables": _report(_dashboard_tables),
+        "dashboard_quality": _dashboard_table("data_quality"),
+        "dashboard_kpi": _dashboard_table("monthly_kpi"),
+        "dashboard_matrix": _dashboard_table("cohort_retention_matrix"),
+        "dashboard_guests": _dashboard_table("guest_metrics"),
         # report feeds
         "sheet_monthly": _facts(lambda clean: sheets.sheet_monthly(_monthly_mom(clean))),
         "sheet_guest": _facts(lambda clean: sheets.sheet_guest(_guests(clean))),
