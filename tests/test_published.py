@@ -137,3 +137,14 @@ def test_retention_bands(matrix):
     assert by_cell["2011-02", 1] == "fair"
     assert by_cell["2011-03", 1] == "low"
     assert by_cell["2011-12", 1] is None
+
+
+def test_sheet_headers(spark, kpi_frame, matrix, guests):
+    monthly = sheets.with_headers(sheets.sheet_monthly(kpi_frame), sheets.MONTHLY_HEADERS)
+    assert monthly.columns[:2] == ["거래월", "일평균 매출"] and len(monthly.columns) == 7
+    retention = sheets.with_headers(sheets.sheet_retention(matrix, CONFIG), sheets.retention_headers(CONFIG))
+    assert retention.columns[:3] == ["코호트", "신규 고객 수", "+1개월"] and retention.columns[-1] == "+11개월"
+    assert sheets.sheet_guest(guests).columns[-2:] == ["guest_orders", "total_orders"]
+    unknown = spark.createDataFrame([("other", "d", 1, 0, 1.0)], "step string, description string, rows_remaining int,"
+                                    " rows_removed_from_previous int, rows_remaining_pct double")
+    assert sheets.sheet_quality(unknown).first()["step_label"] == "other"

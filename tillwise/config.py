@@ -5,23 +5,24 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
+from tillwise import fixed_values
+
 
 @dataclass(frozen=True)
 class CleaningRules:
     """Thresholds of the five ordered cleaning rules."""
 
-    # The published results depend on them.
-    cancel_prefix: str = "C"
-    min_code_length: int = 5
-    outlier_quantities: tuple[int, ...] = (80995, 74215)
+    cancel_prefix: str = fixed_values.CANCEL_PREFIX
+    min_code_length: int = fixed_values.MIN_CODE_LENGTH
+    outlier_quantities: tuple[int, ...] = fixed_values.OUTLIER_QUANTITIES
 
 
 @dataclass(frozen=True)
 class DayWindow:
     """Observed days, both ends included."""
 
-    start: date = date(2010, 12, 1)
-    end: date = date(2011, 12, 9)
+    start: date = fixed_values.FIRST_DAY
+    end: date = fixed_values.LAST_DAY
 
     def __post_init__(self) -> None:
         if self.end < self.start:
@@ -53,12 +54,11 @@ class DayWindow:
 class InsightMonths:
     """Months and cohort quoted by the headline insights."""
 
-    # The published results quote these.
-    base: str = "2011-01"
-    peak: str = "2011-11"
-    last: str = "2011-12"
-    cohort: str = "2010-12"
-    cohort_offset: int = 11
+    base: str = fixed_values.BASE_MONTH
+    peak: str = fixed_values.PEAK_MONTH
+    last: str = fixed_values.LAST_MONTH
+    cohort: str = fixed_values.LONG_COHORT
+    cohort_offset: int = fixed_values.LONG_OFFSET
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ class AnalysisConfig:
     rules: CleaningRules = field(default_factory=CleaningRules)
     window: DayWindow = field(default_factory=DayWindow)
     months: InsightMonths = field(default_factory=InsightMonths)
-    max_month_diff: int = 11
+    max_month_diff: int = fixed_values.MAX_MONTH_DIFF
 
     @property
     def matrix_offsets(self) -> range:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,12 @@ def percent_text(value: Column) -> Column:
     return F.concat(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit("%"))
 
 
+def fill(template: str, **values: Column) -> Column:
+    """Text with its ``{name}`` places taken by columns; NULL if one of them is NULL."""
+    parts = [(text, values.get(name)) for text, name, _, _ in Formatter().parse(template)]
+    return F.concat(*[part for text, value in parts for part in (F.lit(text), value) if part is not None])
+
+
 def band(value: Column, bands: Sequence[tuple[float, str]], below: str) -> Column:
     """Name of the first band (highest threshold first) the value reaches; NULL stays NULL."""
     chain = F.when(value.isNull() | F.isnan(value), F.lit(None).cast("string"))

@@ -4,72 +4,56 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import and_
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.config import CleaningRules
+from tillwise.fixed_values import GUEST_KEY, STEP_DESCRIPTIONS
 from tillwise.functions import month_text
 
-GUEST_KEY = "Guest"
-
-
-class Step(NamedTuple):
-    name: str
-    description: str
-    keeps: Column
-
-
-def cleaning_steps(rules: CleaningRules) -> list[Step]:
-    """The five rules in order. A NULL in a tested column fails the rule."""
-    outliers = ", ".join(str(q) for q in rules.outlier_quantities)
-    # Step names and descriptions as published.
-    return [
-        Step(
-            "remove_cancel_invoice",
-            f"InvoiceNo가 {rules.cancel_prefix}로 시작하는 취소 거래 제거",
-            ~F.col("InvoiceNo").startswith(rules.cancel_prefix),
-        ),
-        Step(
-            "remove_short_stock_code",
-            f"StockCode {rules.min_code_length}자 미만 특수 처리 코드 제거",
-            F.length("StockCode") >= rules.min_code_length,
-        ),
-        Step("remove_non_positive_quantity", "Quantity 0 이하 제거", F.col("Quantity") > 0),
-        Step("remove_non_positive_unit_price", "UnitPrice 0 이하 제거", F.col("UnitPrice") > 0),
-        Step(
-            "remove_quantity_outliers",
-            f"대량 이상치 Quantity {outliers} 제거",
-            ~F.col("Quantity").isin(*rules.outlier_quantities),
-        ),
-    ]
+
+def cleaning_steps(rules: CleaningRules) -> dict[str, Column]:
+    """The five rules in order, as what they keep. A NULL in a tested column fails the rule."""
+    return {
+        "remove_cancel_invoice": ~F.col("InvoiceNo").startswith(rules.cancel_prefix),
+        "remove_short_stock_code": F.length("StockCode") >= rules.min_code_length,
+        "remove_non_positive_quantity": F.col("Quantity") > 0,
+        "remove_non_positive_unit_price": F.col("UnitPrice") > 0,
+        "remove_quantity_outliers": ~F.col("Quantity").isin(*rules.outlier_quantities),
+    }
+
+
+def step_descriptions(rules: CleaningRules) -> dict[str, str]:
+    """What each funnel step does, from the raw lines on, with the thresholds in use."""
+    thresholds = {
+        "prefix": rules.cancel_prefix,
+        "length": rules.min_code_length,
+        "outliers": ", ".join(str(q) for q in rules.outlier_quantities),
+    }
+    return {name: text.format(**thresholds) for name, text in STEP_DESCRIPTIONS.items()}
 
 
 def apply_step(lines: DataFrame, rules: CleaningRules, name: str) -> DataFrame:
     """One rule on its own."""
-    return lines.filter(next(s.keeps for s in cleaning_steps(rules) if s.name == name))
+    return lines.filter(cleaning_steps(rules)[name])
 
 
 def steps_passed(rules: CleaningRules) -> Column:
     """How many rules a line passes before the first one that it fails."""
-    steps = cleaning_steps(rules)
-    passed = F.when(_fails(steps[0]), F.lit(0))
-    for n, step in enumerate(steps[1:], start=1):
-        passed = passed.when(_fails(step), F.lit(n))
-    return passed.otherwise(F.lit(len(steps)))
-
-
-def _fails(step: Step) -> Column:
-    return ~F.coalesce(step.keeps, F.lit(False))
+    first, *others = [~F.coalesce(keeps, F.lit(False)) for keeps in cleaning_steps(rules).values()]
+    passed = F.when(first, F.lit(0))
+    for n, fails in enumerate(others, start=1):
+        passed = passed.when(fails, F.lit(n))
+    return passed.otherwise(F.lit(len(others) + 1))
 
 
 def is_clean(rules: CleaningRules) -> Column:
-    return reduce(and_, [s.keeps for s in cleaning_steps(rules)])
+    return reduce(and_, cleaning_steps(rules).values())
 
 
 def is_clean_but_for_outliers(rules: CleaningRules) -> Column:
-    return reduce(and_, [s.keeps for s in cleaning_steps(rules)[:-1]])
+    return reduce(and_, list(cleaning_steps(rules).values())[:-1])
 
 
 def is_outlier(rules: CleaningRules) -> Column:

@@ -14,13 +14,11 @@ from tillwise.operators.cleaning import (
     is_clean_but_for_outliers,
     is_outlier,
     line_revenue,
+    step_descriptions,
     steps_passed,
 )
 from tillwise.operators.rows import side_by_side
 
-# Fixed value: description of the first funnel step as published.
-RAW_STEP = ("raw", "원본 거래 라인")
-
 
 def step_counts(lines: DataFrame, rules: CleaningRules) -> DataFrame:
     """One row: rows_0 raw lines, rows_n lines left after n rules. One pass over the lines."""
@@ -53,18 +51,14 @@ def step_rows(counts: DataFrame, rules: CleaningRules) -> DataFrame:
             F.lit(name).alias("step_name"),
             F.col(f"rows_{n}").alias("rows_remaining"),
         )
-        for n, (name, _) in enumerate(_labels(rules))
+        for n, name in enumerate(step_descriptions(rules))
     ]
     return counts.select(F.inline(F.array(*rows)))
 
 
-def _labels(rules: CleaningRules) -> list[tuple[str, str]]:
-    return [RAW_STEP, *[(s.name, s.description) for s in cleaning_steps(rules)]]
-
-
 def _funnel(rules: CleaningRules) -> Column:
     rows = []
-    for n, (name, description) in enumerate(_labels(rules)):
+    for n, (name, description) in enumerate(step_descriptions(rules).items()):
         left, before = F.col(f"rows_{n}"), F.col(f"rows_{max(n - 1, 0)}")
         rows.append(
             F.struct(

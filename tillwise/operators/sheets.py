@@ -8,47 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.config import AnalysisConfig, month_bounds
-from tillwise.functions import band, label_of, percent_text, thousands
+from tillwise.fixed_values import (
+    CARDS,
+    CONSISTENCY_SENTENCE,
+    GUEST_HEADERS,
+    LOWEST_BAND,
+    MONTHLY_HEADERS,
+    QUALITY_HEADERS,
+    RETENTION_BANDS,
+    RETENTION_CELL_HEADER,
+    RETENTION_HEADERS,
+    STEP_LABELS,
+)
+from tillwise.functions import band, fill, label_of, percent_text, thousands
 from tillwise.operators.rows import side_by_side
 
-# Display headers, labels, notes and thresholds as published.
-MONTHLY_HEADERS = {
-    "order_month": "거래월",
-    "avg_daily_revenue": "일평균 매출",
-    "avg_daily_customers": "일평균 고객 수",
-    "avg_daily_orders": "일평균 주문 수",
-    "revenue_mom_pct": "매출 전월 대비(%)",
-    "customers_mom_pct": "고객 수 전월 대비(%)",
-    "orders_mom_pct": "주문 수 전월 대비(%)",
-}
-GUEST_HEADERS = {
-    "order_month": "거래월",
-    "guest_order_share_pct": "비회원 주문 비중(%)",
-    "guest_revenue_share_pct": "비회원 매출 비중(%)",
-    "guest_avg_revenue_per_order": "비회원 주문당 평균 매출",
-    "guest_orders": "비회원 주문 수",
-    "total_orders": "전체 주문 수",
-}
-QUALITY_HEADERS = {
-    "step_label": "단계",
-    "description": "전처리 규칙",
-    "rows_remaining": "남은 행 수",
-    "rows_removed_from_previous": "제거된 행 수",
-    "rows_remaining_pct": "잔존율(%)",
-}
-STEP_LABELS = {
-    "raw": "원본",
-    "remove_cancel_invoice": "취소 거래 제거",
-    "remove_short_stock_code": "특수 코드 제거",
-    "remove_non_positive_quantity": "비정상 수량 제거",
-    "remove_non_positive_unit_price": "비정상 단가 제거",
-    "remove_quantity_outliers": "대량 이상치 제거",
-}
-RETENTION_BANDS = [(35.0, "high"), (25.0, "good"), (18.0, "fair")]
-LOWEST_BAND = "low"
-CARD_LABELS = ["정제 후 매출", "{month}월 일평균 매출", "{month}월 비회원 매출 비중", "+1개월 리텐션"]
-CARD_NOTES = ["전처리 기준 적용", "Q4 수요 피크", "주문 비중은 {share}", "초기 이탈 관리 필요"]
-
 
 def sheet_monthly(kpi: DataFrame) -> DataFrame:
     return kpi.select(*MONTHLY_HEADERS)
@@ -61,7 +35,7 @@ def sheet_guest(guests: DataFrame) -> DataFrame:
 
 def sheet_retention(matrix: DataFrame, config: AnalysisConfig) -> DataFrame:
     """The matrix in reading order: cohort, size, one column per later month."""
-    return matrix.select("cohort_month", "new_users", *[f"m{k}_retention_pct" for k in config.matrix_offsets])
+    return matrix.select(*retention_headers(config))
 
 
 def retention_bands(matrix: DataFrame, config: AnalysisConfig) -> DataFrame:
@@ -81,6 +55,11 @@ def sheet_quality(steps: DataFrame, labels: Mapping[str, str] = STEP_LABELS) ->
     return steps.withColumn("step_label", label_of(F.col("step"), labels)).select(*QUALITY_HEADERS)
 
 
+def retention_headers(config: AnalysisConfig) -> dict[str, str]:
+    cells = {f"m{k}_retention_pct": RETENTION_CELL_HEADER.format(offset=k) for k in config.matrix_offsets}
+    return {**RETENTION_HEADERS, **cells}
+
+
 def with_headers(sheet: DataFrame, headers: Mapping[str, str]) -> DataFrame:
     """A feed under its display headers."""
     return sheet.withColumnsRenamed(dict(headers))
@@ -98,17 +77,15 @@ def metric_cards(cleaned: DataFrame, headline: DataFrame, config: AnalysisConfig
         percent_text(revenue_share),
         percent_text(m1),
     ]
-    cards = []
-    for position, (label, value, note) in enumerate(zip(CARD_LABELS, values, CARD_NOTES, strict=True), start=1):
-        before, share, after = note.partition("{share}")
-        cards.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(label.format(month=month)).alias("label"),
-                value.alias("value"),
-                (F.concat(F.lit(before), order_share, F.lit(after)) if share else F.lit(note)).alias("note"),
-            )
+    cards = [
+        F.struct(
+            F.lit(position).alias("position"),
+            F.lit(label.format(month=month)).alias("label"),
+            value.alias("value"),
+            fill(note, share=order_share).alias("note"),
         )
+        for position, ((label, note), value) in enumerate(zip(CARDS, values, strict=True), start=1)
+    ]
     return side_by_side(cleaned.select("revenue"), headline).select(F.inline(F.array(*cards)))
 
 
@@ -116,13 +93,12 @@ def consistency_sentence(note: DataFrame, config: AnalysisConfig) -> DataFrame:
     """The outlier effect of the base month in words, one row."""
     first, _ = month_bounds(config.months.base)
     without, with_rule = (thousands(F.col(name), 2) for name in note.columns[:2])
-    text = F.concat(
-        F.lit("일관성 확인: 대량 이상치 Quantity "),
-        F.col("outlier_quantity").cast("string"),
-        F.lit(f"를 제거한 뒤 {first.year}년 {first.month}월 일평균 매출은 "),
-        with_rule,
-        F.lit("이다. 해당 필터를 적용하지 않으면 "),
-        without,
-        F.lit("로 계산된다."),
+    text = fill(
+        CONSISTENCY_SENTENCE,
+        quantity=F.col("outlier_quantity").cast("string"),
+        year=F.lit(str(first.year)),
+        month=F.lit(str(first.month)),
+        with_rule=with_rule,
+        without_rule=without,
     )
     return note.select(text.alias("note"))
