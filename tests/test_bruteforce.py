@@ -190,8 +190,8 @@ def test_outlier_effect_of_each_month(case):
                 values[0] += r[3] * r[5]
                 values[1] += r[3] * r[5] if passed(r) == 5 else 0
         expected = (name, *[half_up(v / days.days) for v in values])
-        by_line = quality.daily_revenue_by_rule(frame, RULES, days)
-        by_ledger = quality.daily_revenue_by_rule_of_ledger(ledger, days)
+        by_line = quality.revenue_by_rule(frame, RULES, days)
+        by_ledger = quality.revenue_by_rule_of_ledger(ledger)
         assert tuple(quality.outlier_sensitivity(by_line, days).first()) == expected
         assert tuple(quality.outlier_sensitivity(by_ledger, days).first()) == expected
 

@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from helpers import line, lines
 
-from tillwise.config import AnalysisConfig, CleaningRules, DayWindow
+from tillwise.config import AnalysisConfig, CleaningRules, DayWindow, InsightMonths
 from tillwise.operators import cleaning, cohort, facts, guest, kpi, profile, quality
 
 RULES = CleaningRules()
@@ -196,9 +196,9 @@ def test_outlier_effect(spark):
         line("3", when="2011-02-18 10:01:00", quantity=80995, price="1"),
     )
     month = CONFIG.window.month("2011-01")
-    by_lines = quality.outlier_sensitivity(quality.daily_revenue_by_rule(frame, RULES, month), month)
+    by_lines = quality.outlier_sensitivity(quality.revenue_by_rule(frame, RULES, month), month)
     ledger = facts.order_ledger(frame, RULES)
-    by_ledger = quality.outlier_sensitivity(quality.daily_revenue_by_rule_of_ledger(ledger, month), month)
+    by_ledger = quality.outlier_sensitivity(quality.revenue_by_rule_of_ledger(ledger), month)
     assert tuple(by_lines.first()) == tuple(by_ledger.first()) == ("2011-01", 2395.03, 1.0)
     assert invoices(quality.outlier_rows(frame, RULES)) == ["2", "3"]
     note = quality.consistency_note(by_lines, quality.costliest_outlier(frame, RULES, month), CONFIG)
@@ -214,7 +214,7 @@ def test_outlier_effect(spark):
 def test_outlier_effect_without_lines(spark):
     month = CONFIG.window.month("2011-01")
     empty = lines(spark)
-    effect = quality.outlier_sensitivity(quality.daily_revenue_by_rule(empty, RULES, month), month)
+    effect = quality.outlier_sensitivity(quality.revenue_by_rule(empty, RULES, month), month)
     assert tuple(effect.first()) == ("2011-01", 0.0, 0.0)
     assert tuple(quality.costliest_outlier(empty, RULES, month).first()) == (None, None, None)
 
@@ -231,5 +231,10 @@ def test_windows():
     assert DayWindow().last_month_is_partial
     assert not DayWindow(date(2011, 1, 1), date(2011, 2, 28)).last_month_is_partial
     assert DayWindow().month("2011-12").days == 9
+    assert InsightMonths.of(DayWindow()) == InsightMonths()
+    short = DayWindow(date(2011, 1, 2), date(2011, 1, 3))
+    assert (InsightMonths.of(short).base, InsightMonths.of(short).peak) == ("2011-01", "2011-01")
     with pytest.raises(ValueError):
         DayWindow(date(2011, 1, 2), date(2011, 1, 1))
+    with pytest.raises(ValueError, match="2011-02"):
+        short.month("2011-02")

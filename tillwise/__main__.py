@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import SparkSession
 
-from tillwise.config import AnalysisConfig, DayWindow
+from tillwise.config import AnalysisConfig, DayWindow, InsightMonths
 from tillwise.plans.growth import growth_report
 from tillwise.session import apply_settings
 from tillwise.sources import read_csv, read_table
@@ -30,7 +30,8 @@ def main(argv: list[str] | None = None) -> None:
         lines = read_csv(spark, args.lines, timestamp_format=args.timestamp_format)
     else:
         lines = read_table(spark, args.lines)
-    config = AnalysisConfig(window=DayWindow(args.first_day, args.last_day))
+    window = DayWindow(args.first_day, args.last_day)
+    config = AnalysisConfig(window=window, months=InsightMonths.of(window))
     report = growth_report(lines, config, source_file=args.lines.rstrip("/").rsplit("/", 1)[-1])
     report.write(args.out)
     print(spark.read.text(f"{args.out}/analysis_summary.json", wholetext=True).first()[0])

@@ -31,8 +31,15 @@ class DayWindow:
     def month(self, month: str) -> DayWindow:
         """The days of one ``yyyy-MM`` month that lie inside this window."""
         first, last = month_bounds(month)
+        if last < self.start or first > self.end:
+            raise ValueError(f"no day of {month} lies between {self.start} and {self.end}")
         return DayWindow(max(first, self.start), min(last, self.end))
 
+    def neighbour(self, month: str, offset: int) -> str:
+        """The month some months away, or the first or last month if that one is outside."""
+        year, number = divmod(month_bounds(month)[0].year * 12 + int(month[5:]) - 1 + offset, 12)
+        return min(max(f"{year:04d}-{number + 1:02d}", self.first_month), self.last_month)
+
     @property
     def days(self) -> int:
         return (self.end - self.start).days + 1
@@ -60,6 +67,16 @@ class InsightMonths:
     cohort: str = fixed_values.LONG_COHORT
     cohort_offset: int = fixed_values.LONG_OFFSET
 
+    @classmethod
+    def of(cls, window: DayWindow) -> InsightMonths:
+        """The same choice for another window: its second, last but one and last month, and its first cohort."""
+        return cls(
+            base=window.neighbour(window.first_month, 1),
+            peak=window.neighbour(window.last_month, -1),
+            last=window.last_month,
+            cohort=window.first_month,
+        )
+
 
 @dataclass(frozen=True)
 class AnalysisConfig:

@@ -88,36 +88,39 @@ def steps_by_lag(rows: DataFrame) -> DataFrame:
     )
 
 
-def daily_revenue_by_rule(lines: DataFrame, rules: CleaningRules, days: DayWindow) -> DataFrame:
-    """Daily revenue without and with the outlier rule. The days are filtered in the scan."""
-    revenue = line_revenue()
+def revenue_by_rule(lines: DataFrame, rules: CleaningRules, days: DayWindow) -> DataFrame:
+    """Revenue of the lines of some days, without and with the outlier rule.
+
+    The days are filtered in the scan.
+    """
     kept = ~F.col("Quantity").isin(*rules.outlier_quantities)
-    return (
-        lines.filter(day_range(F.col("InvoiceDate"), days) & is_clean_but_for_outliers(rules))
-        .groupBy(F.to_date("InvoiceDate").alias("order_date"))
-        .agg(F.sum(revenue).alias("without_rule"), F.sum(F.when(kept, revenue)).alias("with_rule"))
+    return lines.filter(day_range(F.col("InvoiceDate"), days) & is_clean_but_for_outliers(rules)).select(
+        F.to_date("InvoiceDate").alias("order_date"),
+        line_revenue().alias("without_rule"),
+        F.when(kept, line_revenue()).alias("with_rule"),
     )
 
 
-def daily_revenue_by_rule_of_ledger(ledger: DataFrame, days: DayWindow) -> DataFrame:
-    return (
-        ledger.filter(F.col("order_date").between(F.lit(days.start), F.lit(days.end)))
-        .groupBy("order_date")
-        .agg(F.sum("revenue_with_outliers").alias("without_rule"), F.sum("line_revenue").alias("with_rule"))
+def revenue_by_rule_of_ledger(ledger: DataFrame) -> DataFrame:
+    return ledger.select(
+        "order_date", F.col("revenue_with_outliers").alias("without_rule"), F.col("line_revenue").alias("with_rule")
     )
 
 
-def outlier_sensitivity(daily: DataFrame, days: DayWindow) -> DataFrame:
-    """Average daily revenue of one month without and with the outlier rule.
-
-    ``daily`` holds at most one row per day of the month.
-    """
+def outlier_sensitivity(revenue: DataFrame, days: DayWindow) -> DataFrame:
+    """Average daily revenue of one month without and with the outlier rule; empty days count as 0."""
 
     def average(name: str) -> Column:
         return round2(ratio(F.sum(F.coalesce(name, F.lit(0))), F.count(F.lit(1))))
 
+    daily = (
+        revenue.filter(F.col("order_date").between(F.lit(days.start), F.lit(days.end)))
+        .groupBy("order_date")
+        .agg(F.sum("without_rule").alias("without_rule"), F.sum("with_rule").alias("with_rule"))
+    )
+    # At most one row per day of the month.
     return (
-        calendar(daily.sparkSession, days)
+        calendar(revenue.sparkSession, days)
         .join(F.broadcast(daily), "order_date", "left")
         .groupBy("order_month")
         .agg(

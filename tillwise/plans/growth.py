@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
@@ -57,9 +58,15 @@ class GrowthReport:
         )
 
     def settled(self) -> GrowthReport:
-        """The same report with every field computed once, as a small staged table."""
-        tables = {f.name: getattr(self, f.name) for f in fields(self)}
-        return replace(self, **{name: stage(t, name) for name, t in tables.items() if isinstance(t, DataFrame)})
+        """The same report with every field computed once, as a small staged table.
+
+        The jobs are independent, so they are submitted together and fill each other's gaps.
+        """
+        values = {f.name: getattr(self, f.name) for f in fields(self)}
+        tables = {name: value for name, value in values.items() if isinstance(value, DataFrame)}
+        with ThreadPoolExecutor(len(tables)) as pool:
+            staged = pool.map(stage, tables.values(), tables)
+            return replace(self, **dict(zip(tables, staged, strict=True)))
 
     def write(self, folder: str) -> None:
         """The five result tables as CSV and the two documents as JSON."""
@@ -93,7 +100,7 @@ def report_of_ledger(
     rules, base = config.rules, config.window.month(config.months.base)
     clean = facts.ledger_facts(ledger, rules)
     counts = quality.step_counts_of_ledger(ledger, rules)
-    sensitivity = quality.outlier_sensitivity(quality.daily_revenue_by_rule_of_ledger(ledger, base), base)
+    sensitivity = quality.outlier_sensitivity(quality.revenue_by_rule_of_ledger(ledger), base)
     outlier = quality.costliest_outlier(lines, rules, base)
     return GrowthReport(
         config=config,

@@ -90,7 +90,7 @@ def _funnel(lines: DataFrame) -> DataFrame:
 
 
 def _sensitivity(lines: DataFrame) -> DataFrame:
-    return quality.outlier_sensitivity(quality.daily_revenue_by_rule(lines, RULES, BASE), BASE)
+    return quality.outlier_sensitivity(quality.revenue_by_rule(lines, RULES, BASE), BASE)
 
 
 def _consistency(lines: DataFrame) -> DataFrame:

@@ -7,15 +7,15 @@ from pyspark.sql import SparkSession
 MB = 1024 * 1024
 
 
-def settings_for(input_bytes: int) -> dict[str, str]:
-    """Scan and shuffle sizes for an input of this many bytes.
+def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Scan and shuffle sizes for an input of this many bytes on this many cores.
 
     The widest shuffle is that of the ledger, about a tenth of the lines; it is cut into pieces of
     half a gigabyte. Adaptive execution joins the small pieces again and splits those of hot keys,
     so erring on the high side costs little.
     """
     shuffled = input_bytes // 10
-    pieces = min(max(200, shuffled // (512 * MB)), 50_000)
+    pieces = min(max(cores, shuffled // (512 * MB)), 50_000)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -31,6 +31,6 @@ def settings_for(input_bytes: int) -> dict[str, str]:
 
 
 def apply_settings(spark: SparkSession, input_bytes: int) -> SparkSession:
-    for key, value in settings_for(input_bytes).items():
+    for key, value in settings_for(input_bytes, spark.sparkContext.defaultParallelism).items():
         spark.conf.set(key, value)
     return spark
