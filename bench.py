@@ -65,7 +65,7 @@ def main() -> None:
         run(name)
     seconds = {name: round(run(name), 3) for name in wanted}
     total = round(sum(seconds.values()), 3)
-    result = {"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir}
+    result = {"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": Path(sf_dir).name}
     print(json.dumps(result))
     spark.stop()
 

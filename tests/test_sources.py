@@ -151,5 +151,5 @@ def test_command_line(spark, tmp_path, capsys):
 
 def test_settings_follow_the_input():
     small, huge = settings_for(10**9, 8), settings_for(100 * 10**12, 4000)
-    assert small["spark.sql.shuffle.partitions"] == "8"
-    assert 10_000 < int(huge["spark.sql.shuffle.partitions"]) <= 50_000
+    assert small["spark.sql.shuffle.partitions"] == "32"
+    assert huge["spark.sql.shuffle.partitions"] == "20000"

@@ -10,22 +10,19 @@ MB = 1024 * 1024
 def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
     """Scan and shuffle sizes for an input of this many bytes on this many cores.
 
-    The widest shuffle is that of the ledger, about a tenth of the lines; it is cut into pieces of
-    half a gigabyte. Adaptive execution joins the small pieces again and splits those of hot keys,
-    so erring on the high side costs little.
+    The widest shuffles carry about a quarter of the lines' bytes and are cut into pieces of 128 MB,
+    at least four per core. Adaptive execution joins the small pieces again and splits those of hot
+    keys, so erring on the high side costs little. On a huge input the number of pieces is bounded
+    and scan tasks get longer, as the driver tracks every pair of scan task and piece.
     """
-    shuffled = input_bytes // 10
-    pieces = min(max(cores, shuffled // (512 * MB)), 50_000)
+    pieces = min(max(4 * cores, input_bytes // 4 // (128 * MB)), 20_000)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # A sort-merge join whose smaller side fits this bound per partition skips the sorts.
-        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(128 * MB),
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MB),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(64 * MB),
         "spark.sql.shuffle.partitions": str(pieces),
-        # Fewer, longer scan tasks keep the number of shuffle blocks in bounds on a huge input.
         "spark.sql.files.maxPartitionBytes": str((128 if input_bytes < 2**40 else 512) * MB),
     }
 
