@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import packing
+from tillwise.llm import dedup_exact, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,12 +23,23 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = dedup_exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates_digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
 
