@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import dedup_exact, packing, simhash
+from tillwise.llm import decontamination, dedup_exact, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,9 +36,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination_digest(found)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
