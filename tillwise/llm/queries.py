@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, dedup_exact, packing, simhash
+from tillwise.llm import decontamination, dedup_exact, language, packing, simhash, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,25 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _remainder(id_col: str, modulus: int):
+    """crc32 of the id as text, modulo a number; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    learnt_from = table(spark, sf_dir, "labels").filter(_remainder("doc_id", 5) != 0)
+    return toxicity.fit(table(spark, sf_dir, "documents"), learnt_from)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (_remainder("doc_id", 5) == 0).alias("held_out"),
+        toxicity.score(F.col("text"), toxicity_model(spark, sf_dir)).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.REJECTED).cast("int"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = dedup_exact.exact_duplicates(table(spark, sf_dir, "documents"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -32,6 +52,19 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates_digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "url_filter.*")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()))
 
@@ -41,12 +74,24 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination_digest(found)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = _remainder("doc_id", 3) == 1
+    model = language.fit(documents.filter(~held_out))
+    return documents.select("doc_id", held_out.alias("held_out"), language.predict(F.col("text"), model).alias("p")).select(
+        "doc_id", "held_out", "p.*"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
-        "op9_benchmark_decontamination": op9_benchmark_decontamination,
-        "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op3_url_filters": op3_url_filters,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_language_id": op10_language_id,
     }
 
 
