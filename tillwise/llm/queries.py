@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, dedup_exact, language, packing, simhash, toxicity, url_filter
+from tillwise.llm import chat, decontamination, dedup_exact, language, oracle, packing, secrets, simhash, toxicity, url_filter
+from tillwise.sources.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +66,17 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "url_filter.*")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = stage(chat.whole_conversations(table(spark, sf_dir, "conversations")), "conversations")
+    opening = chat.opening_pairs(talks).select(F.lit("opening").alias("kind"), "*")
+    swapped = chat.swapped_reply_pairs(talks).select(F.lit("reply").alias("kind"), "*")
+    return chat.preference_records(opening.unionByName(swapped))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()))
 
@@ -88,6 +100,8 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_url_filters": op3_url_filters,
+        "op4_chat_formatting": op4_chat_formatting,
+        "op6_secret_scans": op6_secret_scans,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -96,4 +110,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
