@@ -29,7 +29,7 @@ WINDOW_WORDS = 13
 SLACK = 2
 #: A document is contaminated when hits are at least one in so many of its words.
 HIT_SHARE = 20
-SEGMENT_WORDS = 1 << 18
+SEGMENT_WORDS = 1 << 17
 BLOCK_CHARS = 1 << 21
 ROWS_AT_ONCE = 256
 
@@ -40,6 +40,9 @@ _FOLD = bytes(
 )
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text, as UTF-8. No byte of a character beyond ASCII looks like a separator."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -314,3 +317,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
 def contamination_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     items = F.sha2(F.concat_ws(",", "items"), 256)
     return found.select(id_col, "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated", "n_near")
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The documents that are not contaminated, columns unchanged.
+
+    Documents are told apart by their id and a hash of their words, on which alone the decision depends.
+    """
+    words_hash = F.xxhash64(F.translate(F.col(text_col).cast("string"), _UPPER, _UPPER.lower()))
+    keyed = documents.select(F.struct(F.col(id_col).alias("id"), words_hash.alias("hash")).alias("_key"), F.col(text_col).alias("_text"))
+    found = contamination(keyed, benchmark, id_col="_key", text_col="_text", **options)
+    bad = stage(found.filter("contaminated").select("_key").distinct(), "contaminated")
+    same = F.col("_id").eqNullSafe(F.col("_key.id")) & (F.col("_hash") == F.col("_key.hash"))
+    rows = documents.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.coalesce(words_hash, F.lit(0)).alias("_hash"))
+    return rows.join(bad, same, "left_anti").select("_row.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tillwise.llm import licenses
+
 EXACT_DEDUP = r"""
 WITH texts AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -115,7 +117,43 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM texts LEFT JOIN grouped USING (row_no)
 """
 
+def _notice_rows() -> str:
+    rows = []
+    for name, text in licenses.NOTICES.items():
+        words = licenses.template_words(text)
+        size = licenses.WindowClass(len(words))
+        rows += [f"('{name}', {size.stride}, {size.length}, '{s}')" for s in sorted(set(licenses.shingle_list(words)))]
+    return ", ".join(rows)
+
+
+# Every shingle of every document against every template, on the same grid of windows.
+LICENSE_SCANS = rf"""
+WITH asked(license, stride, width, shingle) AS (VALUES {_notice_rows()}
+), sizes AS (
+  SELECT license, count(*) AS n FROM asked GROUP BY license
+), texts AS (
+  SELECT DISTINCT doc_id, text FROM documents
+), split AS (
+  SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words FROM texts
+), hits AS (
+  SELECT doc_id, text, place, license, stride, width, asked.shingle
+  FROM (
+    SELECT doc_id, text, place, array_to_string(words[place + 1:place + 5], ' ') AS shingle
+    FROM split, generate_series(0, len(words) - 5) AS s(place) WHERE len(words) >= 5
+  ) AS shown JOIN asked USING (shingle)
+), covered AS (
+  SELECT doc_id, text, license, no * stride AS start, count(DISTINCT shingle) AS shared
+  FROM hits, generate_series(greatest(0, CAST(ceil((place + 5 - width) / stride) AS BIGINT)), place // stride) AS g(no)
+  GROUP BY ALL
+), matching AS (
+  SELECT doc_id, text, license, start, shared / n AS containment FROM covered JOIN sizes USING (license) WHERE shared / n >= 0.8
+)
+SELECT doc_id, license, max(containment) AS containment, CAST(arg_min(start, (-containment, start)) AS INTEGER) AS first_word, count(*) AS windows
+FROM matching GROUP BY doc_id, text, license
+"""
+
 SQL = {
+    "op5_license_scans": LICENSE_SCANS,
     "op2_exact_dedup": EXACT_DEDUP,
     "op3_url_filters": URL_FILTERS,
     "op6_secret_scans": SECRET_SCANS,

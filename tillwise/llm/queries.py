@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, decontamination, dedup_exact, language, oracle, packing, secrets, simhash, toxicity, url_filter
+from tillwise.llm import chat, decontamination, dedup_exact, language, licenses, oracle, packing, secrets, simhash, toxicity, url_filter
 from tillwise.sources.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,16 +30,18 @@ def _remainder(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
-    learnt_from = table(spark, sf_dir, "labels").filter(_remainder("doc_id", 5) != 0)
-    return toxicity.fit(table(spark, sf_dir, "documents"), learnt_from)
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return table(spark, sf_dir, "labels").filter(_remainder("doc_id", 5) != 0)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, toxicity_labels(spark, sf_dir))
+    scored = documents.select(
         "doc_id",
         (_remainder("doc_id", 5) == 0).alias("held_out"),
-        toxicity.score(F.col("text"), toxicity_model(spark, sf_dir)).alias("score"),
+        toxicity.score(F.col("text"), model).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= toxicity.REJECTED).cast("int"))
 
@@ -73,6 +75,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_records(opening.unionByName(swapped))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -101,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_url_filters": op3_url_filters,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_license_scans": op5_license_scans,
         "op6_secret_scans": op6_secret_scans,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,

@@ -273,3 +273,9 @@ def score(text: Column, model: ToxicityModel) -> Column:
         return pd.Series([model.score(t, known) for t in texts], dtype=float)
 
     return of(text.cast("string"))
+
+
+def drop_rejected(documents: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, columns unchanged."""
+    rows = documents.select(F.struct("*").alias("_row"), score(F.col(text_col), model).alias("_score"))
+    return rows.filter(F.col("_score") < REJECTED).select("_row.*")
