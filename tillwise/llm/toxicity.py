@@ -91,12 +91,15 @@ class LabelModel:
         return chances[:, 1] / chances.sum(axis=1)
 
     def accuracies(self) -> np.ndarray:
-        """How often each voter that votes votes right, at the model's class balance."""
-        out = []
-        for table in self.tables:
-            flat = table.mean(axis=1) * self.prior[:, None]
-            out.append((flat[0, 0] + flat[1, 2]) / max(1e-12, flat[:, [0, 2]].sum()))
-        return np.array(out)
+        """How often each voter is right when it votes, at the model's class balance."""
+
+        def chances(j: int) -> np.ndarray:
+            """P(vote | y), with the voter that it follows summed out."""
+            parent = self.follows[j]
+            return self.tables[j][:, 0] if parent < 0 else np.einsum("yp,ypv->yv", chances(parent), self.tables[j])
+
+        joint = [chances(j) * self.prior[:, None] for j in range(len(self.tables))]
+        return np.array([(c[0, 0] + c[1, 2]) / max(1e-12, c[:, [0, 2]].sum()) for c in joint])
 
 
 def _tree(coded: np.ndarray, chance: np.ndarray) -> list[int]:
