@@ -15,7 +15,7 @@ from tillwise.sources import star_lines
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_results_fit_together(spark, sf):
     lines = star_lines(spark, f"{TESTDATA}/{sf}", FACT_INPUT)
-    report = growth_report(lines, STAR_CONFIG, "lineitem").settled()
+    report = growth_report(lines, STAR_CONFIG, "lineitem")
     clean = report.clean_profile.first()
     steps = report.quality_steps.collect()
     kpi = report.monthly_kpi.orderBy("order_month").collect()

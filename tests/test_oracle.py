@@ -11,7 +11,6 @@ from conftest import TESTDATA
 from tillwise.registry import oracle_sql, queries
 
 SF_DIR = os.environ.get("TILLWISE_SF_DIR", f"{TESTDATA}/sf0.01")
-ROWS_ONLY = {"summary_document", "dashboard_bundle"}
 SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -32,8 +31,7 @@ def _normal(rows, columns):
 
 
 def test_all_queries_have_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(queries()) == set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -47,8 +45,3 @@ def test_matches_sql(spark, duck, name):
     assert len(got) == len(wanted)
     assert got == wanted
     assert wanted
-
-
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_documents_are_one_row(spark, name):
-    assert queries()[name](spark, SF_DIR).count() == 1

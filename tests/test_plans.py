@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from datetime import date
+from fractions import Fraction
+from pathlib import Path
 
 import pytest
 from conftest import TESTDATA
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from tillwise.operators import cohort, facts, followups, guest, kpi, profile, quality
 from tillwise.operators.facts import FACT_INPUT
 from tillwise.plans import sql_reports
+from tillwise.plans.growth import consistency, growth_report, headline
 from tillwise.registry import STAR_CONFIG, queries
 from tillwise.sources import star_lines
 
@@ -144,15 +149,17 @@ def test_follow_ups_on_skewed_lines(skewed):
         if r["CustomerID"] is not None:
             by_customer.setdefault(r["CustomerID"], []).append(r)
 
-    expected = {}
+    expected, last_day = {}, date(2000, 6, 30)
     for rows in by_customer.values():
         days = sorted({r["InvoiceDate"].date() for r in rows})
         gap = (days[1] - days[0]).days if len(days) > 1 else None
         for code in {r["StockCode"] for r in rows if r["InvoiceDate"].date() == days[0]}:
-            counts = expected.setdefault(code, [0, 0, 0, 0])
-            for i, hit in enumerate((True, gap is not None and gap <= 30, gap is not None and gap <= 60, gap is None)):
+            counts = expected.setdefault(code, [0] * 6)
+            seen = [(last_day - days[0]).days >= n for n in (30, 60)]
+            back = [s and gap is not None and gap <= n for s, n in zip(seen, (30, 60), strict=True)]
+            for i, hit in enumerate((True, seen[0], back[0], seen[1], back[1], gap is None)):
                 counts[i] += hit
-    got = {r["StockCode"]: list(r)[1:5] for r in followups.repeat_vs_one_time(skewed, RULES).collect()}
+    got = {r["StockCode"]: list(r)[1:7] for r in followups.repeat_vs_one_time(skewed, RULES, F.lit(last_day)).collect()}
     assert got == expected
 
     revenue = {
@@ -167,15 +174,40 @@ def test_follow_ups_on_skewed_lines(skewed):
     assert leads == {invoice for invoice, value in revenue.items() if value >= threshold}
 
 
-@pytest.mark.parametrize("q", [0.01, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("q", [0.01, 0.07, 0.5, 0.55, 0.9, 1.0])
 def test_exact_quantile(spark, q):
     values = [3.5] * 400 + [n * 1.25 for n in range(1, 601)] + [9e13]
     frame = spark.createDataFrame([(v,) for v in values], "v double").select(F.col("v").cast("decimal(24,4)"))
-    rank = max(1, -(-round(q * 1000 * len(values)) // 1000))
-    assert followups.exact_quantile(frame, "v", q) == round(sorted(values)[rank - 1] * 10**4)
+    rank = max(1, math.ceil(Fraction(str(q)) * len(values)))
+    assert float(followups.exact_quantile(frame, "v", q)) == sorted(values)[rank - 1]
     assert followups.exact_quantile(frame.limit(0), "v", q) is None
 
 
+def test_exact_quantile_where_a_float_product_misses_the_rank(spark):
+    whole = spark.range(1, 101).select(F.col("id").cast("decimal(12,2)").alias("v"))
+    assert followups.exact_quantile(whole, "v", 0.07) == 7
+    many = spark.range(1, 1_000_001).select((F.col("id") % 300_007).cast("decimal(12,2)").alias("v"))
+    plain = sorted(i % 300_007 for i in range(1, 1_000_001))
+    for q in (0.55, 0.07, 0.001):
+        assert followups.exact_quantile(many, "v", q, accuracy=500) == plain[math.ceil(Fraction(str(q)) * 1_000_000) - 1]
+
+
+def test_report_reads_each_source_once(spark):
+    """The ledger's plan scans every table once, and nothing that was staged for a report is left."""
+    lines = star_lines(spark, f"{TESTDATA}/sf0.001", FACT_INPUT)
+    plan = facts.order_ledger(lines, RULES)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet", plan)) == 3
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "tillwise"
+    before = {p.name for p in folder.glob("*ledger*")} | {p.name for p in folder.glob("clean_facts*")}
+    growth_report(lines, STAR_CONFIG)
+    headline(lines, STAR_CONFIG)
+    consistency(lines, STAR_CONFIG)
+    assert {p.name for p in folder.glob("*ledger*")} | {p.name for p in folder.glob("clean_facts*")} == before
+
+
+def test_first_orders_join_without_text_keys(spark):
+    plan = queries()["join_first_orders"](spark, f"{TESTDATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(customer_id", plan) and "hashpartitioning(CustomerID" in plan
 def test_hot_keys_are_split_in_the_sort_merge_join(spark, tmp_path):
     """The order join with a third of the lines on one order, forced to the plan of a big cluster."""
     for name in ("orders", "part", "customer", "nation"):

@@ -142,7 +142,7 @@ def test_join_form_agrees_with_window_form(spark):
     frame = clean_facts(
         spark, *[line(str(n), customer=n % 5, when=f"2011-{n % 12 + 1:02d}-1{n % 10} 10:00:00") for n in range(60)]
     )
-    joined = cohort.join_first_orders(frame, cohort.first_orders(frame))
+    joined = cohort.join_first_orders(frame)
     pairs = joined.select("customer_id", "cohort_month", "month_diff").distinct()
     assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, cohort.orders_with_cohort(frame).collect()))
 

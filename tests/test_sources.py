@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import json
+from pathlib import Path
 
 import pytest
 from helpers import line, lines
@@ -10,12 +12,25 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tillwise.__main__ import main
+from tillwise import sinks
+from tillwise.__main__ import format_of, main, observed_window
 from tillwise.operators import documents
 from tillwise.plans.growth import growth_report
 from tillwise.registry import STAR_CONFIG
 from tillwise.session import settings_for
-from tillwise.sources import LINE_SCHEMA, conform, read_csv, read_table, shared_path, stage, star_lines
+from tillwise.sources import (
+    LINE_SCHEMA,
+    conform,
+    lines_of_csv_text,
+    orphans,
+    read_csv,
+    read_parquet,
+    read_table,
+    shared_path,
+    stage,
+    staged,
+    star_lines,
+)
 
 HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
 
@@ -63,7 +78,7 @@ def test_csv_with_other_columns_fails(spark, tmp_path):
 
 def test_csv_timestamp_format_and_null_marker(spark, tmp_path):
     path = csv(tmp_path, "1,85123A,NA,6,12/1/2010 8:26,2.55,NA,UK")
-    row = read_csv(spark, path, timestamp_format="M/d/yyyy H:mm", null_value="NA").first()
+    row = read_csv(spark, path, timestamp_format="M/d/yyyy H:mm").first()
     assert str(row["InvoiceDate"]) == "2010-12-01 08:26:00"
     assert row["CustomerID"] is None and row["Description"] is None
 
@@ -71,7 +86,7 @@ def test_csv_timestamp_format_and_null_marker(spark, tmp_path):
 def test_table_by_path_and_name(spark, tmp_path):
     frame = lines(spark, line("1"), line("2", customer=None))
     frame.write.parquet(str(tmp_path / "lines"))
-    assert sorted(map(str, read_table(spark, str(tmp_path / "lines")).collect())) == sorted(map(str, frame.collect()))
+    assert sorted(map(str, read_parquet(spark, str(tmp_path / "lines")).collect())) == sorted(map(str, frame.collect()))
     frame.withColumn("CustomerID", F.col("CustomerID").cast("double")).createOrReplaceTempView("shop_lines")
     assert [r["CustomerID"] for r in read_table(spark, "shop_lines").orderBy("InvoiceNo").collect()] == [17850, None]
 
@@ -140,7 +155,7 @@ def test_command_line(spark, tmp_path, capsys):
         "2,85123A,x,1,2011-01-04 10:00:00,2.55,,UK",
         "541431,23166,JAR,74215,2011-01-18 10:01:00,1.04,12346.0,UK",
     )
-    main([path, str(tmp_path / "out")])
+    main([path, str(tmp_path / "out"), "--first-day", "2010-12-01", "--last-day", "2011-12-09"])
     summary = json.loads(capsys.readouterr().out)
     assert summary["dataset"]["source_file"] == "lines.csv"
     assert summary["consistency_note"]["outlier_invoice"] == "541431"
@@ -149,7 +164,107 @@ def test_command_line(spark, tmp_path, capsys):
     assert summary["insights"]["nov_2011_guest_order_share_pct"] is None
 
 
+def test_command_line_formats_and_observed_window(spark, tmp_path, capsys):
+    rows = ["1,85123A,x,6,2012-03-05 08:26:00,2.55,17850.0,UK", "2,85123A,x,1,2012-04-04 10:00:00,2.55,NA,UK"]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEADER + rows[0] + "\n")
+    with gzip.open(folder / "b.csv.gz", "wt") as file:
+        file.write(HEADER + rows[1] + "\n")
+    read_csv(spark, str(folder)).write.parquet(str(tmp_path / "as_parquet"))
+    read_csv(spark, str(folder)).createOrReplaceTempView("as_table")
+    for name, kind in [(str(folder), "csv"), (str(folder / "b.csv.gz"), None), (str(tmp_path / "as_parquet"), None), ("as_table", None)]:
+        main([name, str(tmp_path / f"out-{kind}"), *(["--format", kind] if kind else [])])
+        summary = json.loads(capsys.readouterr().out)
+        assert summary["cleaned"]["rows"] == (1 if name.endswith("gz") else 2)
+        assert summary["cleaned"]["guest_line_rows"] == 1
+    kpi = spark.read.option("header", True).csv(str(tmp_path / "out-None" / "monthly_kpi.csv"))
+    assert [r["order_month"] for r in kpi.collect()] == ["2012-03", "2012-04"]
+
+
+def test_formats_by_name():
+    names = ["a.csv", "x/a.csv/", "a.csv.gz", "s3://b/a.CSV", "lines.parquet", "x/lines", "lines", "shop.lines", "a.gz.txt"]
+    assert [format_of(n) for n in names] == ["csv"] * 4 + ["parquet"] * 2 + ["table"] * 3
+
+
+def test_window_of_no_lines_is_an_error(spark):
+    with pytest.raises(SystemExit):
+        observed_window(lines(spark), None, None)
+
+
+@pytest.fixture(params=["true", "false"])
+def ansi(request, spark):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+@pytest.mark.parametrize("marker", ["NaN", "NA", "NULL", "", "nan", "#N/A", "None"])
+def test_missing_values_in_csv(spark, tmp_path, ansi, marker):
+    row = read_csv(spark, csv(tmp_path, f"1,85123A,{marker},6,2010-12-01 08:26:00,2.55,{marker},UK")).first()
+    assert row["CustomerID"] is None and row["Description"] is None and row["Quantity"] == 6
+
+
+def test_csv_text_follows_the_same_rules(spark, ansi):
+    text = ['1,85123A,"a ""b"", c",6,2010-12-01 08:26:00,2.55,17850.0,UK', "2,85123A,,6,2010-12-01 08:26:00,2.55,NaN,UK"]
+    rows = lines_of_csv_text(spark.createDataFrame([(t,) for t in text], "record string"), "record").collect()
+    assert [(r["Description"], r["CustomerID"]) for r in rows] == [('a "b", c', 17850), (None, None)]
+    bad = spark.createDataFrame([("1,85123A,x,six,2010-12-01 08:26:00,2.55,1,UK",)], "record string")
+    with pytest.raises((PySparkException, Py4JError)):
+        lines_of_csv_text(bad, "record").collect()
+
+
+def test_table_columns_of_other_types(spark, ansi):
+    frame = lines(spark, line("1"), line("2", customer=None))
+    nan = F.when(F.col("CustomerID").isNull(), float("nan")).otherwise(F.col("CustomerID"))
+    typed = frame.withColumn("CustomerID", nan.cast("double")).withColumn("Quantity", F.col("Quantity").cast("double"))
+    typed = typed.withColumn("InvoiceDate", F.col("InvoiceDate").cast("string")).withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
+    assert sorted(map(str, conform(typed).collect())) == sorted(map(str, frame.collect()))
+    for column, bad in [("InvoiceDate", "yesterday"), ("CustomerID", 1.5), ("CustomerID", 1e30), ("Quantity", 3e10), ("UnitPrice", 1e20)]:
+        with pytest.raises((PySparkException, Py4JError)):
+            conform(typed.withColumn(column, F.lit(bad))).collect()
+
+
+def test_shared_folder_is_required(spark, monkeypatch):
+    class Unset:
+        def get(self, *_):
+            return None
+
+    session = type("Session", (), {"conf": Unset(), "sparkContext": type("C", (), {"getCheckpointDir": lambda self: None})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(session, "x")
+
+
+def test_staged_table_is_deleted(spark):
+    with staged(lines(spark, line("1")), "brief") as frame:
+        folder = Path(frame.inputFiles()[0].removeprefix("file://")).parent
+        assert frame.count() == 1 and folder.exists()
+    assert not folder.exists()
+
+
+def test_star_has_no_orphans(spark):
+    assert tuple(orphans(spark, "/root/testdata/sf0.01").first()) == (0, 0, 0, 0)
+
+
+def test_json_has_no_nan_and_reads_back(spark, tmp_path):
+    ddl = "a double, b struct<c: array<struct<d: double, e: string>>>, f string"
+    row = spark.createDataFrame([(float("nan"), ([(float("inf"), "x"), (1.5, None)],), "y")], ddl)
+    text = documents.to_json_text(row).first()[0]
+    assert text == '{"a":null,"b":{"c":[{"d":null,"e":"x"},{"d":1.5,"e":null}]},"f":"y"}'
+    sinks.write_json(row, str(tmp_path / "doc"))
+    back = documents.read_document(spark, str(tmp_path / "doc"), row.schema)
+    assert tuple(back.first()) == (None, ([(None, "x"), (1.5, None)],), "y")
+    values = {r["path"]: r["text"] if r["number"] is None else r["number"] for r in documents.document_values(back).collect()}
+    assert values == {"a": None, "b.c[0].d": None, "b.c[0].e": "x", "b.c[1].d": 1.5, "b.c[1].e": None, "f": "y"}
+    (tmp_path / "bad.json").write_text('{"a": "text"}')
+    with pytest.raises((PySparkException, Py4JError)):
+        documents.read_document(spark, str(tmp_path / "bad.json"), row.schema).collect()
+
+
 def test_settings_follow_the_input():
-    small, huge = settings_for(10**9, 8), settings_for(100 * 10**12, 4000)
-    assert small["spark.sql.shuffle.partitions"] == "32"
-    assert huge["spark.sql.shuffle.partitions"] == "20000"
+    tb = 10**12
+    sizes = [int(settings_for(n, 4000)["spark.sql.shuffle.partitions"]) for n in (tb, 10 * tb, 100 * tb, 1000 * tb)]
+    assert sizes[0] == 16_000 and abs(sizes[2] - 10 * sizes[1]) < 10 and sizes[3] > 9.9 * sizes[2]
+    assert len({settings_for(n, 8)["spark.sql.files.maxPartitionBytes"] for n in (1, tb, 100 * tb)}) == 1
+    assert settings_for(10**9, 8)["spark.sql.shuffle.partitions"] == "32"

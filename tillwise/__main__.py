@@ -1,24 +1,26 @@
-"""Full report from the command line: python -m tillwise LINES OUT [--first-day D --last-day D]."""
+"""Full report from the command line: python -m tillwise LINES OUT [--format F] [--first-day D --last-day D]."""
 
 from __future__ import annotations
 
 import argparse
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwise.config import AnalysisConfig, DayWindow, InsightMonths
 from tillwise.plans.growth import growth_report
 from tillwise.session import apply_settings
-from tillwise.sources import read_csv, read_table
+from tillwise.sources import read_csv, read_parquet, read_table
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tillwise", description=__doc__)
-    parser.add_argument("lines", help="CSV file or folder, Parquet path, or catalog table")
+    parser.add_argument("lines", help="CSV or Parquet file or folder, or the name of a catalog table")
     parser.add_argument("out", help="folder for the five CSV tables and the two JSON documents")
-    parser.add_argument("--first-day", type=date.fromisoformat, default=DayWindow().start)
-    parser.add_argument("--last-day", type=date.fromisoformat, default=DayWindow().end)
+    parser.add_argument("--format", choices=["csv", "parquet", "table"], help="of the lines; told by the name if left out")
+    parser.add_argument("--first-day", type=date.fromisoformat, help="of the analysis; the first day with a line if left out")
+    parser.add_argument("--last-day", type=date.fromisoformat, help="of the analysis; the last day with a line if left out")
     parser.add_argument("--timestamp-format", default="yyyy-MM-dd HH:mm:ss", help="of InvoiceDate in CSV")
     parser.add_argument("--input-gb", type=float, help="size of the lines; sets scan and shuffle sizes to match")
     args = parser.parse_args(argv)
@@ -26,16 +28,38 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("tillwise").getOrCreate()
     if args.input_gb is not None:
         apply_settings(spark, int(args.input_gb * 2**30))
-    if args.lines.endswith(".csv"):
+    kind = args.format or format_of(args.lines)
+    if kind == "csv":
         lines = read_csv(spark, args.lines, timestamp_format=args.timestamp_format)
     else:
-        lines = read_table(spark, args.lines)
-    window = DayWindow(args.first_day, args.last_day)
+        lines = read_parquet(spark, args.lines) if kind == "parquet" else read_table(spark, args.lines)
+    window = observed_window(lines, args.first_day, args.last_day)
     config = AnalysisConfig(window=window, months=InsightMonths.of(window))
     report = growth_report(lines, config, source_file=args.lines.rstrip("/").rsplit("/", 1)[-1])
     report.write(args.out)
     print(spark.read.text(f"{args.out}/analysis_summary.json", wholetext=True).first()[0])
 
 
+def format_of(name: str) -> str:
+    """csv or parquet by the ending, before that of a compression; else a path is Parquet and a bare name a table."""
+    parts = name.rstrip("/").rsplit("/", 1)[-1].lower().split(".")
+    for ending in parts[-1:0:-1]:
+        if ending in ("csv", "parquet"):
+            return ending
+        if ending not in ("gz", "bz2", "zst", "lz4", "snappy"):
+            break
+    return "parquet" if "/" in name else "table"
+
+
+def observed_window(lines: DataFrame, first: date | None, last: date | None) -> DayWindow:
+    """The given days, and the first or last day with a line where one is not given."""
+    if first is None or last is None:
+        seen = lines.agg(F.min(F.to_date("InvoiceDate")).alias("first"), F.max(F.to_date("InvoiceDate")).alias("last")).first()
+        if seen["first"] is None:
+            raise SystemExit("the lines have no day; give --first-day and --last-day")
+        first, last = first or seen["first"], last or seen["last"]
+    return DayWindow(first, last)
+
+
 if __name__ == "__main__":
     main()

@@ -79,3 +79,26 @@ CONSISTENCY_SENTENCE = (
     "일관성 확인: 대량 이상치 Quantity {quantity}를 제거한 뒤 {year}년 {month}월 일평균 매출은 {with_rule}이다. "
     "해당 필터를 적용하지 않으면 {without_rule}로 계산된다."
 )
+
+# Texts that stand for a missing value in a CSV field, in any column.
+MISSING_VALUES = (
+    "",
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+)

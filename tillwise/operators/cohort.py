@@ -49,15 +49,19 @@ def orders_with_cohort(facts: DataFrame) -> DataFrame:
     )
 
 
-def join_first_orders(facts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Every distinct (member, day) with the member's first order, by an equi-join."""
-    days = (
-        facts.filter(F.col("CustomerID").isNotNull())
-        .select(F.col("CustomerID").cast("string").alias("customer_id"), "order_date")
-        .distinct()
-    )
-    return days.join(firsts, "customer_id").withColumn(
-        "month_diff", month_diff(F.col("order_date"), F.col("first_order_date"))
+def join_first_orders(facts: DataFrame) -> DataFrame:
+    """Every distinct (member, day) with the member's first order, by an equi-join on the numeric id.
+
+    Both sides derive from the distinct days, so the lines are read and reduced once.
+    """
+    days = facts.filter(F.col("CustomerID").isNotNull()).select("CustomerID", "order_date").distinct()
+    firsts = days.groupBy("CustomerID").agg(F.min("order_date").alias("first_order_date"))
+    return days.join(firsts, "CustomerID").select(
+        F.col("CustomerID").cast("string").alias("customer_id"),
+        "order_date",
+        "first_order_date",
+        month_text(F.col("first_order_date")).alias("cohort_month"),
+        month_diff(F.col("order_date"), F.col("first_order_date")).alias("month_diff"),
     )
 
 

@@ -6,8 +6,9 @@ grow with the number of lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwise.operators.rows import as_struct, records, side_by_side
 
@@ -45,6 +46,40 @@ def dashboard_bundle(
 
 
 def to_json_text(document: DataFrame, pretty: bool = False) -> DataFrame:
-    """A document as JSON text, NULL fields kept as null."""
+    """A document as JSON text; NULL fields are kept as null, and NaN and infinity, which JSON lacks, are null."""
     options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
-    return document.select(F.to_json(F.struct(*document.columns), options).alias("json"))
+    finite = [_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in document.schema]
+    return document.select(F.to_json(F.struct(*finite), options).alias("json"))
+
+
+def _finite(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, T.StructType):
+        parts = [_finite(value[f.name], f.dataType).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: _finite(item, kind.elementType))
+    return value
+
+
+def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A JSON document that was written with this schema, as one row; one that does not fit fails the read."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def document_values(document: DataFrame) -> DataFrame:
+    """A document laid out as rows (path, text, number), one for each value, NULL ones too."""
+    parts = [_values(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in document.schema]
+    return document.select(F.inline(F.concat(*parts)))
+
+
+def _values(value: Column, kind: T.DataType, path: Column) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.concat(*[_values(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        return F.flatten(F.transform(value, lambda item, i: _values(item, kind.elementType, at(i))))
+    is_text = isinstance(kind, T.StringType)
+    text, number = (value, F.lit(None)) if is_text else (F.lit(None), value)
+    return F.array(F.struct(path.alias("path"), text.cast("string").alias("text"), number.cast("double").alias("number")))

@@ -35,7 +35,8 @@ def order_ledger(lines: DataFrame, rules: CleaningRules) -> DataFrame:
 
     Each measure is a conditional sum, so the rows are combined before they are shuffled and a hot
     invoice or customer reaches the shuffle as one row per input task. ``rows_0`` counts the raw
-    lines and ``rows_n`` those that pass the first n rules.
+    lines and ``rows_n`` those that pass the first n rules; ``outlier_revenue_q`` is the costliest line
+    that only the outlier rule removes, per listed quantity.
     """
     last = len(cleaning_steps(rules))
     passed = F.col("passed")
@@ -45,6 +46,7 @@ def order_ledger(lines: DataFrame, rules: CleaningRules) -> DataFrame:
             "InvoiceNo",
             "CustomerID",
             "InvoiceDate",
+            "Quantity",
             line_revenue().alias("revenue"),
             steps_passed(rules).alias("passed"),
         )
@@ -55,6 +57,10 @@ def order_ledger(lines: DataFrame, rules: CleaningRules) -> DataFrame:
             F.max("InvoiceDate").alias("last_ts"),
             F.sum(F.when(passed >= last - 1, F.col("revenue"))).alias("revenue_with_outliers"),
             F.sum(F.when(passed >= last, F.col("revenue"))).alias("line_revenue"),
+            *[
+                F.max(F.when((passed == last - 1) & (F.col("Quantity") == q), F.col("revenue"))).alias(f"outlier_revenue_{q}")
+                for q in rules.outlier_quantities
+            ],
         )
     )
 
@@ -63,3 +69,8 @@ def ledger_facts(ledger: DataFrame, rules: CleaningRules) -> DataFrame:
     """The clean part of a ledger as facts."""
     passed = F.col(f"rows_{len(cleaning_steps(rules))}")
     return ledger.filter(passed > 0).select(*GRAIN, "line_revenue", passed.alias("line_count"))
+
+
+def compact(facts: DataFrame) -> DataFrame:
+    """Facts at line grain as one row per (day, invoice, customer)."""
+    return facts.groupBy(*GRAIN).agg(F.sum("line_revenue").alias("line_revenue"), F.sum("line_count").alias("line_count"))

@@ -6,6 +6,10 @@ over all products or orders.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,40 +92,43 @@ def guest_orders(lines: DataFrame, rules: CleaningRules) -> DataFrame:
     )
 
 
-def exact_quantile(frame: DataFrame, column: str, q: float, scale: int = 4, bits: int = 16) -> int | None:
-    """The smallest value with at least a share q of all values at or below it, times 10**scale.
+def exact_quantile(frame: DataFrame, column: str, q: float, accuracy: int = 10_000) -> Decimal | None:
+    """The smallest value with at least a share q of all values at or below it; ``q`` counts as written.
 
-    Works on non-negative decimals by narrowing the value down ``bits`` binary digits at a time.
-    Each of the four passes is a histogram of at most 2**bits buckets, combined before its
-    shuffle, so neither a task nor the driver ever holds the values themselves, and the result is
-    exact where an approximate percentile would not be. Stage the frame first: it is read per pass.
+    Two passes: approximate quantiles a little below and above q bracket the value, then the rank inside
+    the bracket is counted out. The bracket holds about four in ``accuracy`` of all values, combined to one
+    row per value. Only the answer reaches the driver. Stage the frame first: it is read per pass.
     """
-    values = frame.select((F.col(column) * 10**scale).cast("bigint").alias("v")).filter("v is not null")
-    total = values.count()
-    if total == 0:
+    values = frame.select(F.col(column).alias("v")).filter("v is not null")
+    margin = 2 / accuracy
+    sides = [F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))]
+    found = values.agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(*sides), accuracy).alias("sides")).first()
+    if found["n"] == 0:
         return None
-    rank = max(1, -int(-(q * total) // 1))
-    prefix = 0
-    for shift in range(64 - bits, -1, -bits):
-        if shift + bits < 64:
-            values = values.filter(F.shiftright("v", shift + bits) == prefix)
-        buckets = values.groupBy(F.shiftright("v", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-        up_to = F.sum("n").over(Window.orderBy("bucket"))
-        # One row comes back: the bucket in which the rank lies, and the rows before it.
-        hit = (
-            buckets.withColumn("up_to", up_to)
-            .filter(F.col("up_to") >= rank)
-            .agg(F.min_by(F.struct("bucket", "n", "up_to"), "bucket").alias("hit"))
-            .first()["hit"]
-        )
-        prefix = hit["bucket"]
-        rank -= hit["up_to"] - hit["n"]
-    return prefix
+    rank = max(1, math.ceil(Fraction(str(q)) * found["n"]))
+    low, high = found["sides"]
+    answer = _value_of_rank(values, rank, low, high)
+    # Never needed while the approximate quantiles keep their promise.
+    return answer if answer is not None else _value_of_rank(values, rank, None, None)
+
+
+def _value_of_rank(values: DataFrame, rank: int, low: Decimal | None, high: Decimal | None) -> Decimal | None:
+    """The value of a rank among all, if it lies between low and high."""
+    below = F.lit(False) if low is None else F.col("v") < F.lit(low)
+    within = F.lit(True) if high is None else F.col("v") <= F.lit(high)
+    # What is below the bracket is one row.
+    counted = (
+        values.filter(within)
+        .groupBy(F.when(~below, F.col("v")).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("up_to", F.sum("n").over(Window.orderBy(F.asc_nulls_first("v"))))
+    )
+    return counted.filter((F.col("up_to") >= rank) & (F.col("up_to") - F.col("n") < rank)).agg(F.min("v").alias("v")).first()["v"]
 
 
 def high_value_guests(orders: DataFrame, q: float = 0.9) -> DataFrame:
     """Guest orders at or above the exact q-quantile of guest order revenue: a list of leads."""
-    threshold = F.lit(exact_quantile(orders, "order_revenue", q)).cast("decimal(38,0)") / F.lit(10**4)
+    threshold = F.lit(exact_quantile(orders, "order_revenue", q)).cast(orders.schema["order_revenue"].dataType)
     return orders.filter(F.col("order_revenue") >= threshold).withColumn("threshold", round2(threshold))
 
 
@@ -159,11 +166,12 @@ def guest_lead_products(lines: DataFrame, rules: CleaningRules, leads: DataFrame
 
 
 def member_returns(facts: DataFrame) -> DataFrame:
-    """First and second purchase day of every member; the second is NULL without a return.
+    """First and second purchase day of every member; the second is NULL without a return."""
+    return _returns(facts.filter(F.col("CustomerID").isNotNull()).select("CustomerID", "order_date").distinct())
 
-    The window runs over the distinct purchase days of one member, which the calendar bounds.
-    """
-    days = facts.filter(F.col("CustomerID").isNotNull()).select("CustomerID", "order_date").distinct()
+
+def _returns(days: DataFrame) -> DataFrame:
+    """The same from distinct purchase days, which the calendar bounds, so that the window over one member is small."""
     by_day = Window.partitionBy("CustomerID").orderBy("order_date")
     return (
         days.select(
@@ -177,26 +185,31 @@ def member_returns(facts: DataFrame) -> DataFrame:
     )
 
 
-def repeat_vs_one_time(lines: DataFrame, rules: CleaningRules) -> DataFrame:
+def repeat_vs_one_time(lines: DataFrame, rules: CleaningRules, last_day: Column) -> DataFrame:
     """Per product of a member's first purchase day: buyers who came back within 30 and 60 days.
 
-    Lines are combined to one row per member and product before the join; a product belongs to the
-    first purchase if it was first bought on the member's first day.
+    A share counts buyers whose 30 or 60 days are observed in full only. Lines are reduced once to distinct
+    (member, day, product), and baskets and returns both derive from these; a product belongs to the
+    first purchase if it was bought on the member's first day.
     """
-    members = clean(lines, rules).filter(F.col("CustomerID").isNotNull())
-    bought = members.groupBy("CustomerID", "StockCode").agg(F.min(F.to_date("InvoiceDate")).alias("first_bought"))
-    returns = member_returns(members.select("CustomerID", F.to_date("InvoiceDate").alias("order_date")))
+    bought = (
+        clean(lines, rules)
+        .filter(F.col("CustomerID").isNotNull())
+        .select("CustomerID", F.to_date("InvoiceDate").alias("order_date"), "StockCode")
+        .distinct()
+    )
+    returns = _returns(bought.select("CustomerID", "order_date").distinct())
+    first_basket = bought.join(returns, "CustomerID").filter(F.col("order_date") == F.col("first_day"))
     gap = F.date_diff("second_day", "first_day")
-    first_basket = bought.join(returns, "CustomerID").filter(F.col("first_bought") == F.col("first_day"))
-    buyers = F.count(F.lit(1))
-    return first_basket.groupBy("StockCode").agg(
-        buyers.alias("first_buyers"),
-        F.count_if(gap <= 30).alias("back_in_30"),
-        F.count_if(gap <= 60).alias("back_in_60"),
-        F.count_if(F.col("second_day").isNull()).alias("one_time_buyers"),
-        pct(F.count_if(gap <= 30), buyers).alias("back_in_30_pct"),
-        pct(F.count_if(gap <= 60), buyers).alias("back_in_60_pct"),
+    counts, shares = [], []
+    for n in (30, 60):
+        observed = F.date_add("first_day", n) <= last_day
+        counts += [F.count_if(observed).alias(f"observed_{n}"), F.count_if(observed & (gap <= n)).alias(f"back_in_{n}")]
+        shares.append(pct(F.col(f"back_in_{n}"), F.col(f"observed_{n}")).alias(f"back_in_{n}_pct"))
+    counted = first_basket.groupBy("StockCode").agg(
+        F.count(F.lit(1)).alias("first_buyers"), *counts, F.count_if(F.col("second_day").isNull()).alias("one_time_buyers")
     )
+    return counted.select("*", *shares)
 
 
 def recontact_list(facts: DataFrame, last_day: Column) -> DataFrame:

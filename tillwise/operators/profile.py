@@ -48,9 +48,11 @@ def profile_clean(facts: DataFrame) -> DataFrame:
 
 
 def insights(kpi: DataFrame, matrix: DataFrame, guests: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """The eight headline values as one row. A month or cohort without data gives NULL.
+    """The eight headline values as one row; fewer where a short window has the same month twice.
 
-    They are looked up in the same records that the documents list, so a document with both
+    A month or cohort without data gives NULL.
+
+    The values are looked up in the same records that the documents list, so a document with both
     computes each table once.
     """
     m = config.months
@@ -63,7 +65,7 @@ def insights(kpi: DataFrame, matrix: DataFrame, guests: DataFrame, config: Analy
         record_at("monthly_kpi", "order_month", month, "avg_daily_revenue").alias(
             f"{month_slug(month)}_avg_daily_revenue"
         )
-        for month in (m.peak, m.last, m.base)
+        for month in dict.fromkeys((m.peak, m.last, m.base))
     ]
     guest = [
         record_at("guest_metrics", "order_month", m.peak, name).alias(f"{month_slug(m.peak)}_{name}")

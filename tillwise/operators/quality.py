@@ -145,9 +145,22 @@ def outlier_rows(lines: DataFrame, rules: CleaningRules) -> DataFrame:
 
 def costliest_outlier(lines: DataFrame, rules: CleaningRules, days: DayWindow) -> DataFrame:
     """One row: the outlier line of a month with the highest revenue; NULLs if there is none."""
-    in_month = outlier_rows(lines.filter(day_range(F.col("InvoiceDate"), days)), rules)
+    return _costliest(outlier_rows(lines.filter(day_range(F.col("InvoiceDate"), days)), rules))
+
+
+def costliest_outlier_of_ledger(ledger: DataFrame, rules: CleaningRules, days: DayWindow) -> DataFrame:
+    """The same row from a compacted ledger."""
+    found = [
+        F.struct(F.lit(q).alias("Quantity"), F.col(f"outlier_revenue_{q}").alias("line_revenue"))
+        for q in rules.outlier_quantities
+    ]
+    in_month = ledger.filter(F.col("order_date").between(F.lit(days.start), F.lit(days.end)))
+    return _costliest(in_month.select("InvoiceNo", F.inline(F.array(*found))).filter("line_revenue is not null"))
+
+
+def _costliest(rows: DataFrame) -> DataFrame:
     top = F.max_by(F.struct("InvoiceNo", "Quantity", "line_revenue"), F.struct("line_revenue", "InvoiceNo", "Quantity"))
-    return in_month.agg(top.alias("top")).select(
+    return rows.agg(top.alias("top")).select(
         F.col("top.InvoiceNo").alias("outlier_invoice"),
         F.col("top.Quantity").alias("outlier_quantity"),
         round2(F.col("top.line_revenue")).alias("outlier_revenue"),

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Small results computed once, as local frames. Only for results with one row per month, step or cohort.
+
+    The jobs are independent, so they are submitted together and fill each other's gaps.
+    """
+    with ThreadPoolExecutor(len(frames)) as pool:
+        found = list(pool.map(lambda frame: frame.collect(), frames.values()))
+    return {
+        name: frame.sparkSession.createDataFrame(rows, frame.schema)
+        for (name, frame), rows in zip(frames.items(), found, strict=True)
+    }
+
+
 def side_by_side(*rows: DataFrame) -> DataFrame:
     """One-row frames as one row. Each is a scalar subquery: a second row anywhere is an error.
 

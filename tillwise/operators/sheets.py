@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.config import AnalysisConfig, month_bounds
+from tillwise.config import AnalysisConfig, month_bounds, month_slug
 from tillwise.fixed_values import (
     CARDS,
     CONSISTENCY_SENTENCE,
@@ -68,8 +68,11 @@ def with_headers(sheet: DataFrame, headers: Mapping[str, str]) -> DataFrame:
 def metric_cards(cleaned: DataFrame, headline: DataFrame, config: AnalysisConfig) -> DataFrame:
     """The four headline cards: label, value and note, values as display text."""
     month = month_bounds(config.months.peak)[0].month
-    # The headline values by position, as their names carry the month.
-    peak_revenue, order_share, revenue_share, m1 = (F.col(headline.columns[i]) for i in (0, 3, 4, 7))
+    slug = month_slug(config.months.peak)
+    peak_revenue, order_share, revenue_share = (
+        F.col(f"{slug}_{name}") for name in ("avg_daily_revenue", "guest_order_share_pct", "guest_revenue_share_pct")
+    )
+    m1 = F.col("average_m1_retention_pct")
     order_share = percent_text(order_share)
     values = [
         thousands(F.col("revenue"), 2),

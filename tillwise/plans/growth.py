@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
@@ -10,13 +9,15 @@ from pyspark.sql import functions as F
 
 from tillwise import sinks
 from tillwise.config import AnalysisConfig
+from tillwise.functions import day_range
 from tillwise.operators import cohort, documents, facts, guest, kpi, profile, quality
-from tillwise.sources.shared import stage
+from tillwise.operators.rows import settled
+from tillwise.sources.shared import staged
 
 
 @dataclass(frozen=True)
 class GrowthReport:
-    """Lazy results over one ledger; the properties derive from the fields."""
+    """Results over one ledger; the properties derive from the fields."""
 
     config: AnalysisConfig
     source_file: str
@@ -57,59 +58,70 @@ class GrowthReport:
             self.summary, self.quality_records, self.monthly_kpi, self.cohort_retention_matrix, self.guest_metrics
         )
 
-    def settled(self) -> GrowthReport:
-        """The same report with every field computed once, as a small staged table.
-
-        The jobs are independent, so they are submitted together and fill each other's gaps.
-        """
-        values = {f.name: getattr(self, f.name) for f in fields(self)}
-        tables = {name: value for name, value in values.items() if isinstance(value, DataFrame)}
-        with ThreadPoolExecutor(len(tables)) as pool:
-            staged = pool.map(stage, tables.values(), tables)
-            return replace(self, **dict(zip(tables, staged, strict=True)))
-
     def write(self, folder: str) -> None:
         """The five result tables as CSV and the two documents as JSON."""
-        done = self.settled()
         tables = {
-            "data_quality_steps": (done.quality_steps, []),
-            "monthly_kpi": (done.monthly_kpi, ["order_month"]),
-            "cohort_retention_long": (done.cohort_retention_long, ["cohort_month", "month_diff"]),
-            "cohort_retention_matrix": (done.cohort_retention_matrix, ["cohort_month"]),
-            "guest_metrics": (done.guest_metrics, ["order_month"]),
+            "data_quality_steps": (self.quality_steps, []),
+            "monthly_kpi": (self.monthly_kpi, ["order_month"]),
+            "cohort_retention_long": (self.cohort_retention_long, ["cohort_month", "month_diff"]),
+            "cohort_retention_matrix": (self.cohort_retention_matrix, ["cohort_month"]),
+            "guest_metrics": (self.guest_metrics, ["order_month"]),
         }
         for name, (frame, order_by) in tables.items():
             sinks.write_csv(frame, f"{folder}/{name}.csv", order_by)
-        sinks.write_json(done.dashboard, f"{folder}/dashboard_data.json")
-        sinks.write_json(done.summary, f"{folder}/analysis_summary.json")
+        sinks.write_json(self.dashboard, f"{folder}/dashboard_data.json")
+        sinks.write_json(self.summary, f"{folder}/analysis_summary.json")
 
 
 def growth_report(lines: DataFrame, config: AnalysisConfig, source_file: str = "") -> GrowthReport:
-    """Stage the ledger of the lines, then describe every result on top of it.
+    """Every result from one read of the lines.
 
-    The lines are read twice: once for the ledger, and once, restricted to one month and a few
-    quantities that the scan can skip by, for the costliest outlier line.
+    Their ledger is staged, every result is computed from it as a small local frame, and the ledger is
+    deleted again. The jobs run here, not when the results are read.
     """
-    ledger = stage(facts.order_ledger(lines, config.rules), "order_ledger")
-    return report_of_ledger(ledger, lines, config, source_file)
+    with staged(facts.order_ledger(lines, config.rules), "order_ledger") as ledger:
+        report = report_of_ledger(ledger, config, source_file)
+        values = {f.name: getattr(report, f.name) for f in fields(report)}
+        return replace(report, **settled({name: v for name, v in values.items() if isinstance(v, DataFrame)}))
 
 
-def report_of_ledger(
-    ledger: DataFrame, lines: DataFrame, config: AnalysisConfig, source_file: str = ""
-) -> GrowthReport:
+def report_of_ledger(ledger: DataFrame, config: AnalysisConfig, source_file: str = "") -> GrowthReport:
+    """The results described on a ledger; nothing runs yet."""
     rules, base = config.rules, config.window.month(config.months.base)
     clean = facts.ledger_facts(ledger, rules)
-    counts = quality.step_counts_of_ledger(ledger, rules)
     sensitivity = quality.outlier_sensitivity(quality.revenue_by_rule_of_ledger(ledger), base)
-    outlier = quality.costliest_outlier(lines, rules, base)
     return GrowthReport(
         config=config,
         source_file=source_file,
         raw_profile=profile.profile_raw_of_ledger(ledger),
         clean_profile=profile.profile_clean(clean),
-        quality_records=quality.quality_records(counts, rules),
-        consistency_note=quality.consistency_note(sensitivity, outlier, config),
+        quality_records=quality.quality_records(quality.step_counts_of_ledger(ledger, rules), rules),
+        consistency_note=quality.consistency_note(sensitivity, quality.costliest_outlier_of_ledger(ledger, rules, base), config),
         monthly_kpi=kpi.add_mom(kpi.monthly_kpi(kpi.daily_stats(clean, config.window))),
         cohort_retention_long=cohort.cohort_retention(clean, config),
         guest_metrics=guest.guest_metrics(guest.order_level(clean)),
     )
+
+
+def headline(lines: DataFrame, config: AnalysisConfig) -> tuple[DataFrame, DataFrame]:
+    """The profile of the clean lines and the insights alone, from one read of the lines."""
+    with staged(facts.compact(facts.line_facts(lines, config.rules)), "clean_facts") as clean:
+        done = settled(
+            {
+                "profile": profile.profile_clean(clean),
+                "kpi": kpi.monthly_kpi(kpi.daily_stats(clean, config.window)),
+                "matrix": cohort.cohort_matrix(cohort.cohort_retention(clean, config), config),
+                "guests": guest.guest_metrics(guest.order_level(clean)),
+            }
+        )
+    return done["profile"], profile.insights(done["kpi"], done["matrix"], done["guests"], config)
+
+
+def consistency(lines: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """The consistency note alone, from one read of the base month's lines."""
+    rules, base = config.rules, config.window.month(config.months.base)
+    month = lines.filter(day_range(F.col("InvoiceDate"), base))
+    with staged(facts.order_ledger(month, rules), "month_ledger") as ledger:
+        sensitivity = quality.outlier_sensitivity(quality.revenue_by_rule_of_ledger(ledger), base)
+        outlier = quality.costliest_outlier_of_ledger(ledger, rules, base)
+        return settled({"note": quality.consistency_note(sensitivity, outlier, config)})["note"]

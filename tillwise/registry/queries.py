@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise import functions as fn
+from tillwise import sinks
 from tillwise.config import AnalysisConfig, CleaningRules, DayWindow, InsightMonths
 from tillwise.operators import calendar, cleaning, cohort, documents, facts, followups, guest, kpi, profile, quality
 from tillwise.operators import sheets
 from tillwise.operators.facts import FACT_INPUT
 from tillwise.plans import sql_reports
-from tillwise.plans.growth import GrowthReport, growth_report
-from tillwise.sources import LINE_COLUMNS, read_csv, read_table, shared_path, stage, star_lines
+from tillwise.plans.growth import GrowthReport, consistency, growth_report, headline
+from tillwise.sources import LINE_COLUMNS, lines_of_csv_text, read_table, shared_path, stage, star_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +61,7 @@ def _facts(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _report(build: Callable[[GrowthReport], DataFrame]) -> Query:
-    """A query on several results, which share one staged ledger."""
+    """A query on several results, all from one read of the lines."""
     return lambda spark, sf_dir: portable(
         build(growth_report(star_lines(spark, sf_dir, FACT_INPUT), STAR_CONFIG, source_file="lineitem"))
     )
@@ -94,25 +96,42 @@ def _sensitivity(lines: DataFrame) -> DataFrame:
 
 
 def _consistency(lines: DataFrame) -> DataFrame:
-    outlier = quality.costliest_outlier(lines, RULES, BASE)
-    return quality.consistency_note(_sensitivity(lines), outlier, STAR_CONFIG)
+    return consistency(lines, STAR_CONFIG)
 
 
-def _join_first_orders(clean: DataFrame) -> DataFrame:
-    return cohort.join_first_orders(clean, cohort.first_orders(clean))
+def _last_day() -> Column:
+    return F.lit(STAR_CONFIG.window.end)
 
 
-def _scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "lines_csv")
-    star_lines(spark, sf_dir).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
-    return portable(read_csv(spark, path))
+def _scan_csv(lines: DataFrame) -> DataFrame:
+    """The lines as CSV records, parsed by the rules of the CSV reader."""
+    text = F.to_csv(F.struct(*LINE_COLUMNS), {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "escape": '"'})
+    return lines_of_csv_text(lines.select(text.alias("record")), "record")
 
 
-def _scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "lines")
-    star_lines(spark, sf_dir, LINE_COLUMNS).write.parquet(path)
-    clean = cleaning.clean(read_table(spark, path), RULES)
-    return portable(clean.select("InvoiceNo", "InvoiceDate", "Quantity", "CustomerID"))
+def _scan_table(lines: DataFrame) -> DataFrame:
+    """The clean lines of a view, read by its name."""
+    name = f"lines_{uuid.uuid4().hex}"
+    lines.createOrReplaceTempView(name)
+    clean = cleaning.clean(read_table(lines.sparkSession, name), RULES)
+    lines.sparkSession.catalog.dropTempView(name)
+    return clean.select("InvoiceNo", "InvoiceDate", "Quantity", "CustomerID")
+
+
+def _sink_csv(report: GrowthReport) -> DataFrame:
+    """The monthly KPI, written as CSV and read back."""
+    spark = report.monthly_kpi.sparkSession
+    path = shared_path(spark, "monthly_kpi_csv")
+    sinks.write_csv(report.monthly_kpi, path, ["order_month"])
+    return spark.read.option("header", True).schema(report.monthly_kpi.schema).csv(path)
+
+
+def _sink_json(report: GrowthReport) -> DataFrame:
+    """The dashboard document, written as JSON, read back and laid out as values."""
+    spark = report.dashboard.sparkSession
+    path = shared_path(spark, "dashboard_json")
+    sinks.write_json(report.dashboard, path)
+    return documents.document_values(documents.read_document(spark, path, report.dashboard.schema))
 
 
 def _scalars(lines: DataFrame) -> DataFrame:
@@ -173,11 +192,16 @@ def _dashboard_table(name: str) -> Query:
     return _report(build)
 
 
-def _cards(report: GrowthReport) -> DataFrame:
-    return sheets.metric_cards(report.clean_profile, report.insights, STAR_CONFIG)
+def _insights(lines: DataFrame) -> DataFrame:
+    return headline(lines, STAR_CONFIG)[1]
+
+
+def _cards(lines: DataFrame) -> DataFrame:
+    return sheets.metric_cards(*headline(lines, STAR_CONFIG), STAR_CONFIG)
 
 
 def _leads(lines: DataFrame) -> DataFrame:
+    # Staged, as the quantile reads the orders twice before the leads do.
     return followups.high_value_guests(stage(followups.guest_orders(lines, RULES), "guest_orders"))
 
 
@@ -190,8 +214,8 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         # sources
         "scan_retail": _lines(lambda lines: lines, LINE_COLUMNS),
-        "scan_csv": _scan_csv,
-        "scan_table": _scan_table,
+        "scan_csv": _lines(_scan_csv, LINE_COLUMNS),
+        "scan_table": _lines(_scan_table, LINE_COLUMNS),
         # cleaning
         "clean_lines": _lines(lambda lines: cleaning.clean(lines, RULES), LINE_COLUMNS),
         "enriched_lines": _lines(lambda lines: cleaning.enrich(cleaning.clean(lines, RULES)), LINE_COLUMNS),
@@ -213,7 +237,7 @@ def queries() -> dict[str, Query]:
         "monthly_kpi_mom": _facts(_monthly_mom),
         # retention
         "first_orders": _facts(cohort.first_orders),
-        "join_first_orders": _facts(_join_first_orders),
+        "join_first_orders": _facts(cohort.join_first_orders),
         "orders_with_cohort": _facts(cohort.orders_with_cohort),
         "cohort_sizes": _facts(lambda clean: cohort.cohort_sizes(cohort.first_orders(clean))),
         "cohort_retention_long": _facts(_retention),
@@ -226,19 +250,21 @@ def queries() -> dict[str, Query]:
         "outlier_rows": _lines(lambda lines: quality.outlier_rows(lines, RULES), CLEAN_DATED),
         "profile_raw": _lines(profile.profile_raw, ["InvoiceNo", "InvoiceDate", "CustomerID"]),
         "profile_clean": _facts(profile.profile_clean),
-        "consistency_note": _lines(_consistency, CLEAN_DATED),
+        "consistency_note": _lines(_consistency, FACT_INPUT),
         "consistency_sentence": _lines(
-            lambda lines: sheets.consistency_sentence(_consistency(lines), STAR_CONFIG), CLEAN_DATED
+            lambda lines: sheets.consistency_sentence(_consistency(lines), STAR_CONFIG), FACT_INPUT
         ),
         "output_check": _facts(lambda clean: quality.output_check(_monthly_mom(clean))),
         "output_check_matrix": _facts(lambda clean: quality.output_check(_matrix(clean))),
         "scalar_functions": _lines(_scalars, FACT_INPUT),
         # several results at once
         "order_ledger": _lines(lambda lines: facts.order_ledger(lines, RULES), FACT_INPUT),
-        "insights": _report(lambda report: report.insights),
-        "summary_document": _report(lambda report: report.summary),
+        "insights": _lines(_insights, FACT_INPUT),
+        "summary_document": _report(lambda report: documents.document_values(report.summary)),
         "summary_values": _report(_summary_values),
-        "dashboard_bundle": _report(lambda report: documents.to_json_text(report.dashboard)),
+        "dashboard_bundle": _report(lambda report: documents.document_values(report.dashboard)),
+        "sink_csv": _report(_sink_csv),
+        "sink_json": _report(_sink_json),
         "dashboard_tables": _report(_dashboard_tables),
         "dashboard_quality": _dashboard_table("data_quality"),
         "dashboard_kpi": _dashboard_table("monthly_kpi"),
@@ -250,7 +276,7 @@ def queries() -> dict[str, Query]:
         "sheet_retention": _facts(lambda clean: sheets.sheet_retention(_matrix(clean), STAR_CONFIG)),
         "retention_bands": _facts(lambda clean: sheets.retention_bands(_matrix(clean), STAR_CONFIG)),
         "sheet_quality": _lines(lambda lines: sheets.sheet_quality(_funnel(lines)), TESTED),
-        "metric_cards": _report(_cards),
+        "metric_cards": _lines(_cards, FACT_INPUT),
         # the reports as SQL text
         "sql_funnel": _lines(lambda lines: sql_reports.run_sql(sql_reports.FUNNEL, lines, STAR_CONFIG), TESTED),
         "sql_monthly_kpi": _lines(
@@ -274,9 +300,9 @@ def queries() -> dict[str, Query]:
         "ext_guest_by_product": _lines(
             lambda lines: followups.guest_lead_products(lines, RULES, _leads(lines)), guest_input
         ),
-        "ext_repeat_vs_churn": _lines(lambda lines: followups.repeat_vs_one_time(lines, RULES), FACT_INPUT),
+        "ext_repeat_vs_churn": _lines(lambda lines: followups.repeat_vs_one_time(lines, RULES, _last_day()), FACT_INPUT),
         "ext_recontact": _facts(
-            lambda clean: followups.recontact_list(clean, F.lit(STAR_CONFIG.window.end))
+            lambda clean: followups.recontact_list(clean, _last_day())
         ),
         "ext_seasonality": _lines(
             lambda lines: followups.seasonality(lines, RULES, _last_word()), [*CLEAN_DATED, "Description"]

@@ -9,7 +9,7 @@ from tillwise.operators.documents import to_json_text
 
 def write_csv(result: DataFrame, path: str, order_by: list[str]) -> None:
     """A result of at most one row per month, cohort or step as one CSV part with a header."""
-    _ordered(result, order_by).write.mode("overwrite").option("header", True).csv(path)
+    _ordered(result, order_by).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(document: DataFrame, path: str) -> None:

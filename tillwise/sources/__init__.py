@@ -1,16 +1,28 @@
 """Where transaction lines come from, and the shared folder for intermediate tables."""
 
-from tillwise.sources.lines import LINE_COLUMNS, LINE_SCHEMA, conform, read_csv, read_table
-from tillwise.sources.shared import shared_path, stage
-from tillwise.sources.star import star_lines
+from tillwise.sources.lines import (
+    LINE_COLUMNS,
+    LINE_SCHEMA,
+    conform,
+    lines_of_csv_text,
+    read_csv,
+    read_parquet,
+    read_table,
+)
+from tillwise.sources.shared import shared_path, stage, staged
+from tillwise.sources.star import orphans, star_lines
 
 __all__ = [
     "LINE_COLUMNS",
     "LINE_SCHEMA",
     "conform",
+    "lines_of_csv_text",
+    "orphans",
     "read_csv",
+    "read_parquet",
     "read_table",
     "shared_path",
     "stage",
+    "staged",
     "star_lines",
 ]

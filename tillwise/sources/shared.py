@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,18 +12,10 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the session's shared folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    may go without: it gets a temporary folder, which would be useless across machines.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
+    """A fresh path below the shared folder: the one that the session names in ``spark.checkpoint.dir``."""
+    base = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {_SETTING} to a folder that all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillwise-"))
-        base = context.getCheckpointDir()
+        raise ValueError(f"set {_SETTING} to a folder that all executors can reach")
     return f"{base.rstrip('/')}/tillwise/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,3 +29,16 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def staged(frame: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A staged table that is deleted at the end, for results that are computed until then."""
+    spark = frame.sparkSession
+    path = shared_path(spark, name)
+    frame.write.parquet(path)
+    try:
+        yield spark.read.schema(frame.schema).parquet(path)
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

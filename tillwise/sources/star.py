@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.sources.lines import LINE_COLUMNS, PRICE_TYPE
@@ -16,8 +16,9 @@ _FROM_PART = {"UnitPrice", "Description"}
 def star_lines(spark: SparkSession, sf_dir: str, columns: Iterable[str] = LINE_COLUMNS) -> DataFrame:
     """The line table, or just some of its columns, over every row of ``lineitem``.
 
-    All foreign keys of the star resolve, so a join that would only add unwanted columns is not
-    written: Spark drops unused columns by itself but not an unused inner join. No join carries a
+    Contract: every line's order and part, and that order's customer and nation, exist (``orphans`` counts
+    those that do not). Then a join that would only add unwanted columns changes nothing and is not written:
+    Spark drops unused columns by itself but not an unused inner join. No join carries a
     broadcast hint; whether a side is small enough is Spark's decision from the measured file
     sizes, and beyond that adaptive execution splits hot order or part keys of a sort-merge join.
     """
@@ -29,8 +30,8 @@ def star_lines(spark: SparkSession, sf_dir: str, columns: Iterable[str] = LINE_C
     is_return = F.col("l_returnflag") == "R"
     order_text = F.col("l_orderkey").cast("string")
     part_text = F.col("l_partkey").cast("string")
-    # lpad would cut a longer key down to six digits.
-    padded = F.when(F.col("l_partkey") < 10**6, F.lpad(part_text, 6, "0")).otherwise(part_text)
+    # lpad cuts what is longer than its length.
+    padded = F.lpad(part_text, F.greatest(F.length(part_text), F.lit(6)), F.lit("0"))
 
     frame = table("lineitem").select(
         F.when(is_return & (F.col("l_linestatus") == "O"), F.concat(F.lit("C"), order_text))
@@ -67,3 +68,19 @@ def star_lines(spark: SparkSession, sf_dir: str, columns: Iterable[str] = LINE_C
         "Country": lambda: F.col("n_name"),
     }
     return frame.select(*[derived[c]().alias(c) if c in derived else F.col(c) for c in wanted])
+
+
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many rows break the contract of ``star_lines``, by foreign key."""
+
+    def missing(child: str, key: str, parent: str, parent_key: str) -> Column:
+        rows = spark.read.parquet(f"{sf_dir}/{child}.parquet").select(F.col(key).alias("k"))
+        keys = spark.read.parquet(f"{sf_dir}/{parent}.parquet").select(F.col(parent_key).alias("k"))
+        return rows.join(keys, "k", "left_anti").agg(F.count(F.lit(1))).scalar().alias(key)
+
+    return spark.range(1).select(
+        missing("lineitem", "l_orderkey", "orders", "o_orderkey"),
+        missing("lineitem", "l_partkey", "part", "p_partkey"),
+        missing("orders", "o_custkey", "customer", "c_custkey"),
+        missing("customer", "c_nationkey", "nation", "n_nationkey"),
+    )
