@@ -190,13 +190,21 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def _sample(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> tuple[DataFrame, dict[int, float]]:
-    """Distinct texts of each label, chosen by a hash, and how many rows each stands for."""
+def _sample(
+    texts: DataFrame, given: DataFrame, toxic_rows: int, clean_rows: int
+) -> tuple[DataFrame, dict[int, float]]:
+    """Distinct labelled texts (text, y) of each label, chosen by a hash, and how many rows each stands for.
+
+    Only ids and hashes meet the labels; the texts of the bounded sample are then read by a broadcast of it.
+    """
+    hashed = texts.select("id", F.xxhash64("text").alias("hash"))
+    labelled = stage(hashed.join(given, "id"), "toxicity_labelled")
     sizes = {int(y): n for y, n in labelled.groupBy("y").count().collect()}
     shares = {y: min(1.0, most / max(1, sizes.get(y, 0))) for y, most in ((1, toxic_rows), (0, clean_rows))}
-    place = F.pmod(F.xxhash64("text"), F.lit(_FINE))
     share = F.when(F.col("y") == 1, int(_FINE * shares[1])).otherwise(int(_FINE * shares[0]))
-    return labelled.filter(place < share).distinct(), {y: 1.0 / s for y, s in shares.items()}
+    chosen = labelled.filter(F.pmod("hash", F.lit(_FINE)) < share).groupBy("hash", "y").agg(F.min("id").alias("id"))
+    found = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "hash"])
+    return found.dropDuplicates(["hash", "y"]).select("text", "y"), {y: 1.0 / s for y, s in shares.items()}
 
 
 def fit(
@@ -217,7 +225,7 @@ def fit(
     """
     text = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)").distinct()
-    sample, stands_for = _sample(text.join(given, "id").select("text", "y"), toxic_rows, clean_rows)
+    sample, stands_for = _sample(text, given, toxic_rows, clean_rows)
 
     @F.pandas_udf("array<string>")
     def terms(texts: pd.Series) -> pd.Series:
