@@ -1,4 +1,4 @@
-"""Results published for the original shop data, as given.
+"""Results published for the original shop data, in their published layout without headers.
 
 The shop's lines are not available, so the tests rebuild inputs that must lead to these results.
 """
@@ -29,24 +29,101 @@ MONTHLY_KPI = """
 2011-12 49671.89 79.22 90.67 2.22 -1.43 -1.2
 """
 
-# cohort, members, then members active again after 1, 2, ... months
-RETAINED = """
-2010-12 885 323 286 339 320 352 320 308 312 350 330 444
-2011-01 415 91 111 95 133 120 103 100 124 136 152 49
-2011-02 380 71 71 109 103 93 97 104 94 116 26
-2011-03 452 67 114 90 101 76 121 104 126 39
-2011-04 300 63 61 63 59 68 65 78 22
-2011-05 284 54 49 49 59 66 75 26
-2011-06 242 42 38 64 56 80 23
-2011-07 187 33 38 42 51 21
-2011-08 169 34 41 41 21
-2011-09 299 70 90 34
-2011-10 357 85 41
-2011-11 323 36
-2011-12 41
+# cohort, months after the first order, members active then, members, and their share in percent
+RETENTION = """
+2010-12 0 885 885 100.0
+2010-12 1 323 885 36.5
+2010-12 2 286 885 32.32
+2010-12 3 339 885 38.31
+2010-12 4 320 885 36.16
+2010-12 5 352 885 39.77
+2010-12 6 320 885 36.16
+2010-12 7 308 885 34.8
+2010-12 8 312 885 35.25
+2010-12 9 350 885 39.55
+2010-12 10 330 885 37.29
+2010-12 11 444 885 50.17
+2011-01 0 415 415 100.0
+2011-01 1 91 415 21.93
+2011-01 2 111 415 26.75
+2011-01 3 95 415 22.89
+2011-01 4 133 415 32.05
+2011-01 5 120 415 28.92
+2011-01 6 103 415 24.82
+2011-01 7 100 415 24.1
+2011-01 8 124 415 29.88
+2011-01 9 136 415 32.77
+2011-01 10 152 415 36.63
+2011-01 11 49 415 11.81
+2011-02 0 380 380 100.0
+2011-02 1 71 380 18.68
+2011-02 2 71 380 18.68
+2011-02 3 109 380 28.68
+2011-02 4 103 380 27.11
+2011-02 5 93 380 24.47
+2011-02 6 97 380 25.53
+2011-02 7 104 380 27.37
+2011-02 8 94 380 24.74
+2011-02 9 116 380 30.53
+2011-02 10 26 380 6.84
+2011-03 0 452 452 100.0
+2011-03 1 67 452 14.82
+2011-03 2 114 452 25.22
+2011-03 3 90 452 19.91
+2011-03 4 101 452 22.35
+2011-03 5 76 452 16.81
+2011-03 6 121 452 26.77
+2011-03 7 104 452 23.01
+2011-03 8 126 452 27.88
+2011-03 9 39 452 8.63
+2011-04 0 300 300 100.0
+2011-04 1 63 300 21.0
+2011-04 2 61 300 20.33
+2011-04 3 63 300 21.0
+2011-04 4 59 300 19.67
+2011-04 5 68 300 22.67
+2011-04 6 65 300 21.67
+2011-04 7 78 300 26.0
+2011-04 8 22 300 7.33
+2011-05 0 284 284 100.0
+2011-05 1 54 284 19.01
+2011-05 2 49 284 17.25
+2011-05 3 49 284 17.25
+2011-05 4 59 284 20.77
+2011-05 5 66 284 23.24
+2011-05 6 75 284 26.41
+2011-05 7 26 284 9.15
+2011-06 0 242 242 100.0
+2011-06 1 42 242 17.36
+2011-06 2 38 242 15.7
+2011-06 3 64 242 26.45
+2011-06 4 56 242 23.14
+2011-06 5 80 242 33.06
+2011-06 6 23 242 9.5
+2011-07 0 187 187 100.0
+2011-07 1 33 187 17.65
+2011-07 2 38 187 20.32
+2011-07 3 42 187 22.46
+2011-07 4 51 187 27.27
+2011-07 5 21 187 11.23
+2011-08 0 169 169 100.0
+2011-08 1 34 169 20.12
+2011-08 2 41 169 24.26
+2011-08 3 41 169 24.26
+2011-08 4 21 169 12.43
+2011-09 0 299 299 100.0
+2011-09 1 70 299 23.41
+2011-09 2 90 299 30.1
+2011-09 3 34 299 11.37
+2011-10 0 357 357 100.0
+2011-10 1 85 357 23.81
+2011-10 2 41 357 11.48
+2011-11 0 323 323 100.0
+2011-11 1 36 323 11.15
+2011-12 0 41 41 100.0
 """
 
-# cohort, members, then the same in percent
+# cohort, members, then the shares after 1, 2, ... months
 MATRIX = """
 2010-12 885 36.5 32.32 38.31 36.16 39.77 36.16 34.8 35.25 39.55 37.29 50.17
 2011-01 415 21.93 26.75 22.89 32.05 28.92 24.82 24.1 29.88 32.77 36.63 11.81
@@ -96,6 +173,14 @@ INSIGHTS = {
 }
 
 
+def retained() -> dict[str, list[int]]:
+    """By cohort: its members, then those active after 1, 2, ... months."""
+    wide: dict[str, list[int]] = {}
+    for cohort, _, active, *_ in table(RETENTION):
+        wide.setdefault(cohort, []).append(active)
+    return wide
+
+
 def table(text: str, width: int | None = None) -> list[tuple]:
     """Rows of a text table; '-' and missing trailing cells are None."""
     rows = []
