@@ -126,9 +126,9 @@ def trigrams(query: Query) -> set[str]:
 
 def _postings(texts: DataFrame, asked: list[str], shards: int) -> DataFrame:
     """(shard, trigram, list): which texts (hash, text) of a shard contain a trigram."""
-    folded = F.lower("text")
-    present = F.array_compact(F.array(*[F.when(folded.contains(t), F.lit(t)) for t in asked]))
-    pairs = texts.select("hash", F.explode(present).alias("trigram"))
+    folded = texts.select("hash", F.lower("text").alias("folded"))
+    present = F.array_compact(F.array(*[F.when(F.col("folded").contains(t), F.lit(t)) for t in asked]))
+    pairs = folded.select("hash", F.explode(present).alias("trigram"))
     shard = F.pmod("hash", F.lit(shards)).alias("shard")
     return pairs.groupBy(shard, "trigram").agg(F.collect_set("hash").alias("list"))
 
