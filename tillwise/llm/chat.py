@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 LEARNT_ROLE = "assistant"
 #: Conversations with neighbouring ids that are numbered together when pairs are formed.
-BUCKET = 4096
+BUCKET = 512
 
 
 def _marker(turn: Column) -> Column:

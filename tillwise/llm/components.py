@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.sources.shared import stage
+from tillwise.sources.shared import stage, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,11 +32,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     lineage; the rounds grow with the logarithm of the longest path. Only a count and a checksum of
     each round reach the driver.
     """
-    now = edges.select("a", "b").filter("a <> b").distinct()
-    now, seen = stage(now, "edges"), None
-    while True:
-        now = stage(_small_star(_large_star(now)), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+    seen = None
+    with ExitStack() as held:
+        now = held.enter_context(staged(edges.select("a", "b").filter("a <> b").distinct(), "edges"))
+        while True:
+            with held.pop_all():  # the round before goes once this one is written
+                now = held.enter_context(staged(_small_star(_large_star(now)), "edges"))
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == seen:
+                return stage(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+            seen = state

@@ -22,7 +22,7 @@ from re import _parser as regex_tree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.sources.shared import stage
+from tillwise.sources.shared import stage, staged
 
 #: Texts per shard of the index, on average; bounds the lists that are intersected.
 SHARD_TEXTS = 4096
@@ -141,21 +141,20 @@ def _evaluate(query: Query, lists: dict[str, Column]) -> Column:
 
 
 def candidates(texts: DataFrame, rules: list[Rule], shard_texts: int = SHARD_TEXTS) -> DataFrame:
-    """(hash, kinds): texts (hash, text) that the trigram queries of rules return, and for which kinds."""
+    """(hash, kinds): texts (hash, text) that the trigram queries of rules return, and for which kinds; staged."""
     indexed = [r for r in rules if r.query != ANY]
     asked = sorted(set().union(*(trigrams(r.query) for r in indexed)))
     shards = max(1, texts.count() // shard_texts)
     none = F.array().cast("array<bigint>")
     lists = {t: F.coalesce(F.col(f"list_{i}"), none) for i, t in enumerate(asked)}
-    postings = stage(_postings(texts, asked, shards), "trigram_postings")
-    by_shard = postings.groupBy("shard").agg(
-        *[F.first(F.when(F.col("trigram") == t, F.col("list")), ignorenulls=True).alias(f"list_{i}") for i, t in enumerate(asked)]
-    )
-    found = None
-    for rule in indexed:
-        of = by_shard.select(F.explode(_evaluate(rule.query, lists)).alias("hash"), F.lit(rule.kind).alias("kind"))
-        found = of if found is None else found.unionByName(of)
-    return found.groupBy("hash").agg(F.collect_set("kind").alias("kinds"))
+    with staged(_postings(texts, asked, shards), "trigram_postings") as postings:
+        by_shard = postings.groupBy("shard").agg(
+            *[F.first(F.when(F.col("trigram") == t, F.col("list")), ignorenulls=True).alias(f"list_{i}") for i, t in enumerate(asked)]
+        )
+        returned = [F.struct(F.lit(r.kind).alias("kind"), _evaluate(r.query, lists).alias("hashes")) for r in indexed]
+        named = F.array(*returned)
+        found = by_shard.select(F.inline(named)).select("kind", F.explode("hashes").alias("hash"))
+        return stage(found.groupBy("hash").agg(F.collect_set("kind").alias("kinds")), "secret_candidates")
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
@@ -191,7 +190,7 @@ def find_secrets(
     everywhere = {r.kind for r in rules if r.query == ANY}
     none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
     if len(everywhere) < len(rules):
-        chosen = stage(candidates(rows.select("hash", "text"), rules), "secret_candidates")
+        chosen = candidates(rows.select("hash", "text"), rules)
         rows = rows.join(chosen.withColumnRenamed("hash", "_hash"), F.col("hash") == F.col("_hash"), "left")
     else:
         rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))

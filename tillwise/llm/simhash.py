@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import ExitStack
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.components import connected_components
-from tillwise.sources.shared import stage
+from tillwise.sources.shared import stage, staged
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -184,17 +185,18 @@ def near_duplicates(
     are not read. An empty table gives no row.
     """
     marked = stage(documents.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), words).alias("fp")), "simhash")
-    leaves = stage(marked.groupBy("fp").agg(F.min("id").alias("low")), "simhash_leaves")
-    links = stage(near_links(leaves.select("fp"), max_distance), "simhash_links")
-    classes = connected_components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")))
-    degrees = links.groupBy("fp").agg(F.sum("links").alias("n_links"))
-    rooted = (
-        leaves.join(classes.withColumnRenamed("node", "fp"), "fp", "left")
-        .join(degrees, "fp", "left")
-        .select("fp", "low", F.coalesce("root", "fp").alias("class_fp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    lows = rooted.groupBy("class_fp").agg(F.min("low").alias("component_id"))
-    known = stage(rooted.drop("low").join(lows, "class_fp"), "simhash_classes")
+    with ExitStack() as held:
+        leaves = held.enter_context(staged(marked.groupBy("fp").agg(F.min("id").alias("low")), "simhash_leaves"))
+        links = held.enter_context(staged(near_links(leaves.select("fp"), max_distance), "simhash_links"))
+        classes = connected_components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")))
+        degrees = links.groupBy("fp").agg(F.sum("links").alias("n_links"))
+        rooted = (
+            leaves.join(classes.withColumnRenamed("node", "fp"), "fp", "left")
+            .join(degrees, "fp", "left")
+            .select("fp", "low", F.coalesce("root", "fp").alias("class_fp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        )
+        lows = rooted.groupBy("class_fp").agg(F.min("low").alias("component_id"))
+        known = stage(rooted.drop("low").join(lows, "class_fp"), "simhash_classes")
     return marked.join(known, "fp").select(F.col("id").alias(id_col), "fp", "class_fp", "component_id", "n_links")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.linear import Penalties, train
-from tillwise.sources.shared import stage
+from tillwise.sources.shared import staged
 
 #: Labelled rows that are learned from, at most, by label.
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
@@ -191,14 +191,12 @@ class ToxicityModel:
 
 
 def _sample(
-    texts: DataFrame, given: DataFrame, toxic_rows: int, clean_rows: int
+    texts: DataFrame, labelled: DataFrame, toxic_rows: int, clean_rows: int
 ) -> tuple[DataFrame, dict[int, float]]:
     """Distinct labelled texts (text, y) of each label, chosen by a hash, and how many rows each stands for.
 
-    Only ids and hashes meet the labels; the texts of the bounded sample are then read by a broadcast of it.
+    ``labelled`` is (id, hash, y): only ids and hashes meet the labels; the texts of the bounded sample are then read by a broadcast of it.
     """
-    hashed = texts.select("id", F.xxhash64("text").alias("hash"))
-    labelled = stage(hashed.join(given, "id"), "toxicity_labelled")
     sizes = {int(y): n for y, n in labelled.groupBy("y").count().collect()}
     shares = {y: min(1.0, most / max(1, sizes.get(y, 0))) for y, most in ((1, toxic_rows), (0, clean_rows))}
     share = F.when(F.col("y") == 1, int(_FINE * shares[1])).otherwise(int(_FINE * shares[0]))
@@ -225,13 +223,20 @@ def fit(
     """
     text = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)").distinct()
-    sample, stands_for = _sample(text, given, toxic_rows, clean_rows)
 
     @F.pandas_udf("array<string>")
     def terms(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted({x for w in words(t) for x in terms_of(w)}))
 
-    sample = stage(sample.select("text", "y", terms("text").alias("terms")), "toxicity_sample")
+    hashed = text.select("id", F.xxhash64("text").alias("hash")).join(given, "id")
+    with staged(hashed, "toxicity_labelled") as labelled:
+        sample, stands_for = _sample(text, labelled, toxic_rows, clean_rows)
+        with staged(sample.select("text", "y", terms("text").alias("terms")), "toxicity_sample") as kept:
+            return _learn(kept, stands_for)
+
+
+def _learn(sample: DataFrame, stands_for: dict[int, float]) -> ToxicityModel:
+    """The model of a bounded sample (text, y, terms) whose rows stand for so many each, by label."""
     sizes = {y: n for y, n in sample.groupBy("y").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
