@@ -17,7 +17,7 @@ from tillwise.operators.facts import FACT_INPUT
 from tillwise.plans import sql_reports
 from tillwise.plans.growth import consistency, growth_report, headline
 from tillwise.registry import STAR_CONFIG, queries
-from tillwise.sources import star_lines
+from tillwise.sources import shared_folder, star_lines
 
 SF = f"{TESTDATA}/sf0.01"
 RULES, WINDOW = STAR_CONFIG.rules, STAR_CONFIG.window
@@ -197,7 +197,7 @@ def test_report_reads_each_source_once(spark):
     lines = star_lines(spark, f"{TESTDATA}/sf0.001", FACT_INPUT)
     plan = facts.order_ledger(lines, RULES)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"FileScan parquet", plan)) == 3
-    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "tillwise"
+    folder = Path(shared_folder(spark))
     before = {p.name for p in folder.glob("*ledger*")} | {p.name for p in folder.glob("clean_facts*")}
     growth_report(lines, STAR_CONFIG)
     headline(lines, STAR_CONFIG)

@@ -9,18 +9,23 @@ from tillwise.sources.lines import (
     read_parquet,
     read_table,
 )
-from tillwise.sources.shared import shared_path, stage, staged
+from tillwise.sources.shared import Tables, current, of_application, release, shared_folder, shared_path, stage, staged
 from tillwise.sources.star import orphans, star_lines
 
 __all__ = [
     "LINE_COLUMNS",
     "LINE_SCHEMA",
+    "Tables",
     "conform",
+    "current",
     "lines_of_csv_text",
+    "of_application",
     "orphans",
     "read_csv",
     "read_parquet",
     "read_table",
+    "release",
+    "shared_folder",
     "shared_path",
     "stage",
     "staged",
