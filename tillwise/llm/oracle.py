@@ -152,7 +152,42 @@ SELECT doc_id, license, max(containment) AS containment, CAST(arg_min(start, (-c
 FROM matching GROUP BY doc_id, text, license
 """
 
+# Every run of one to four words, counted as text; no hashes and no summaries.
+PHRASE_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), counted AS (
+  SELECT lang, k AS words, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM split, generate_series(1, 4) AS lengths(k), generate_series(1, len(words) - k + 1) AS starts(i)
+  GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang
+), listed AS (
+  SELECT *, string_split(phrase, ' ') AS list FROM counted
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f, k, a.f AS l, b.f AS r, (2000000::HUGEINT * c.f) // (a.f + b.f)::HUGEINT AS score
+  FROM listed AS c, generate_series(1, c.words - 1) AS cut(k)
+  JOIN counted AS a ON a.lang = c.lang AND a.phrase = array_to_string(c.list[1:k], ' ')
+  JOIN counted AS b ON b.lang = c.lang AND b.phrase = array_to_string(c.list[k + 1:], ' ')
+  WHERE c.words >= 2
+), weakest AS (
+  SELECT lang, phrase, f AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score)::BIGINT AS score FROM cuts GROUP BY lang, phrase, f
+), inner_phrases AS (
+  SELECT lang, array_to_string(list[i:i + k - 1], ' ') AS phrase, max(f) AS longer
+  FROM listed, generate_series(2, words - 1) AS lengths(k), generate_series(1, words - k + 1) AS starts(i) WHERE words > 2 GROUP BY ALL
+), ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest AS w LEFT JOIN inner_phrases USING (lang, phrase) WHERE 100 * coalesce(longer, 0)::HUGEINT < 80 * a::HUGEINT
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 SQL = {
+    "op13_phrase_collocations": PHRASE_COLLOCATIONS,
     "op5_license_scans": LICENSE_SCANS,
     "op2_exact_dedup": EXACT_DEDUP,
     "op3_url_filters": URL_FILTERS,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, decontamination, dedup_exact, language, licenses, oracle, packing, secrets, simhash, toxicity, url_filter
+from tillwise.llm import chat, collocations, decontamination, dedup_exact, language, licenses, oracle, packing, secrets, simhash, toxicity, url_filter
 from tillwise.sources.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = collocations.phrase_counts(table(spark, sf_dir, "documents"))
+    return collocations.top_collocations(collocations.collocations(counts), counts)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -113,6 +118,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_language_id": op10_language_id,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
