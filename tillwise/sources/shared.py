@@ -62,6 +62,7 @@ class Tables:
         self._readers: dict[Hashable, int] = {}
         self._lock = threading.RLock()
         self._opened: list = []
+        self._outer: Tables | None = None
 
     def add(self, path: str) -> None:
         with self._lock:
@@ -113,7 +114,14 @@ class Tables:
             while self._paths:
                 self.remove(self._paths.pop())
 
+    def hand_over(self, frame: DataFrame, name: str) -> DataFrame:
+        """The result of the work in this block, written for the owner around it; all else goes as the block ends."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        (self._outer or of_application(self.spark)).add(path)
+        return _written(frame, path)
+
     def __enter__(self) -> Tables:
+        self._outer = current(self.spark)
         self._opened.append(_open_tables.set(self))
         return self
 
