@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.sources.shared import stage
+from tillwise.sources.shared import Tables, stage
 
 #: Words of the longest phrase.
 MOST_WORDS = 4
@@ -369,8 +369,9 @@ def phrase_counts(documents: DataFrame, *, text_col: str = "text", lang_col: str
     ).filter("text is not null")
     # No run has fewer than two bytes, its last word and what parts it from the next, and at most four runs end at a word.
     mass = MOST_WORDS * ((texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // 2 + 1)
-    survivors = _summaries(texts, mass, threshold)
-    return stage(_exact_counts(texts, _bitmap(survivors, mass), threshold), "phrase_counts")
+    with Tables(documents.sparkSession) as tables:
+        bitmap = _bitmap(_summaries(texts, mass, threshold), mass)
+        return tables.hand_over(_exact_counts(texts, bitmap, threshold), "phrase_counts")
 
 
 def _words(first: Column | int, n: Column) -> Column:

