@@ -186,6 +186,24 @@ SELECT known.conv_id, known.d AS depth, parent.conv_id AS parent_conv_id, known.
 FROM known JOIN totals USING (d, prefix) LEFT JOIN nodes AS parent ON parent.d = known.d - 1 AND parent.prefix = known.prefix[1:known.d - 1]
 """
 
+def _base32(hexadecimal: str) -> str:
+    """Five hexadecimal digits at a time as a number, and its four characters."""
+    char = lambda at, bits: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr({hexadecimal}, {at}, 5))::INTEGER >> {bits}) & 31) + 1, 1)"
+    return " || ".join(char(at, bits) for at in range(1, 41, 5) for bits in (15, 10, 5, 0))
+
+
+WARC = f"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages
+), placed AS (
+  SELECT *, row_number() OVER best AS place, first_value(page_id) OVER best AS first_id
+  FROM payloads WINDOW best AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST)
+)
+SELECT page_id, strlen(html) AS payload_bytes, {_base32("sha")} AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM placed
+"""
+
 # Every run of one to four words, counted as text; no hashes and no summaries.
 PHRASE_COLLOCATIONS = r"""
 WITH pieces AS (
@@ -221,6 +239,7 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 """
 
 SQL = {
+    "op12_warc": WARC,
     "op11_prefix_trie": PREFIX_TRIE,
     "op13_phrase_collocations": PHRASE_COLLOCATIONS,
     "op5_license_scans": LICENSE_SCANS,

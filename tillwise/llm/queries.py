@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, collocations, decontamination, dedup_exact, language, licenses, oracle, packing, prefix_trie, secrets, simhash, toxicity, url_filter
-from tillwise.sources.shared import Tables, stage
+from tillwise.llm import chat, collocations, decontamination, dedup_exact, language, licenses, oracle, packing, prefix_trie, secrets, simhash, toxicity, url_filter, warc
+from tillwise.sources.shared import Tables, shared_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +118,21 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Tables(spark) as tables:
+        archives = shared_path(spark, "archives")
+        warc.write_archives(warc.archive_records(table(spark, sf_dir, "pages")), archives)
+        records = stage(warc.read_records(spark, archives, keep_payload=False), "records")
+        found = stage(warc.captures(records), "captures")
+        return tables.hand_over(warc.resolved(found), "op12").select(
+            F.col("page_id").cast("long").alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            F.col("kind").alias("record_type"),
+            F.col("refers_to").cast("long").alias("refers_to"),
+        )
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = collocations.phrase_counts(table(spark, sf_dir, "documents"))
     return collocations.top_collocations(collocations.collocations(counts), counts)
@@ -136,6 +151,7 @@ def queries() -> dict[str, Query]:
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_language_id": op10_language_id,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_warc": op12_warc,
         "op13_phrase_collocations": op13_phrase_collocations,
     }
 
