@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
 from datetime import date
-from fractions import Fraction
 from pathlib import Path
 
 import pytest
@@ -174,24 +172,6 @@ def test_follow_ups_on_skewed_lines(skewed):
     assert leads == {invoice for invoice, value in revenue.items() if value >= threshold}
 
 
-@pytest.mark.parametrize("q", [0.01, 0.07, 0.5, 0.55, 0.9, 1.0])
-def test_exact_quantile(spark, q):
-    values = [3.5] * 400 + [n * 1.25 for n in range(1, 601)] + [9e13]
-    frame = spark.createDataFrame([(v,) for v in values], "v double").select(F.col("v").cast("decimal(24,4)"))
-    rank = max(1, math.ceil(Fraction(str(q)) * len(values)))
-    assert float(followups.exact_quantile(frame, "v", q)) == sorted(values)[rank - 1]
-    assert followups.exact_quantile(frame.limit(0), "v", q) is None
-
-
-def test_exact_quantile_where_a_float_product_misses_the_rank(spark):
-    whole = spark.range(1, 101).select(F.col("id").cast("decimal(12,2)").alias("v"))
-    assert followups.exact_quantile(whole, "v", 0.07) == 7
-    many = spark.range(1, 1_000_001).select((F.col("id") % 300_007).cast("decimal(12,2)").alias("v"))
-    plain = sorted(i % 300_007 for i in range(1, 1_000_001))
-    for q in (0.55, 0.07, 0.001):
-        assert followups.exact_quantile(many, "v", q, accuracy=500) == plain[math.ceil(Fraction(str(q)) * 1_000_000) - 1]
-
-
 def test_report_reads_each_source_once(spark):
     """The ledger's plan scans every table once, and nothing that was staged for a report is left."""
     lines = star_lines(spark, f"{TESTDATA}/sf0.001", FACT_INPUT)

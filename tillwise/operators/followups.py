@@ -6,16 +6,13 @@ over all products or orders.
 
 from __future__ import annotations
 
-import math
-from decimal import Decimal
-from fractions import Fraction
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.config import AnalysisConfig, CleaningRules, DayWindow
 from tillwise.functions import day_range, month_text, pct, ratio, round2
 from tillwise.operators.cleaning import clean, line_revenue
+from tillwise.operators.ranks import exact_quantile
 
 RECONTACT_DAYS = (7, 21, 30)
 
@@ -92,42 +89,11 @@ def guest_orders(lines: DataFrame, rules: CleaningRules) -> DataFrame:
     )
 
 
-def exact_quantile(frame: DataFrame, column: str, q: float, accuracy: int = 10_000) -> Decimal | None:
-    """The smallest value with at least a share q of all values at or below it; ``q`` counts as written.
+def high_value_guests(orders: DataFrame, q: float = 0.9) -> DataFrame:
+    """Guest orders at or above the exact q-quantile of guest order revenue: a list of leads.
 
-    Two passes: approximate quantiles a little below and above q bracket the value, then the rank inside
-    the bracket is counted out. The bracket holds about four in ``accuracy`` of all values, combined to one
-    row per value. Only the answer reaches the driver. Stage the frame first: it is read per pass.
+    The orders are read three times, twice of them here; stage them first.
     """
-    values = frame.select(F.col(column).alias("v")).filter("v is not null")
-    margin = 2 / accuracy
-    sides = [F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))]
-    found = values.agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(*sides), accuracy).alias("sides")).first()
-    if found["n"] == 0:
-        return None
-    rank = max(1, math.ceil(Fraction(str(q)) * found["n"]))
-    low, high = found["sides"]
-    answer = _value_of_rank(values, rank, low, high)
-    # Never needed while the approximate quantiles keep their promise.
-    return answer if answer is not None else _value_of_rank(values, rank, None, None)
-
-
-def _value_of_rank(values: DataFrame, rank: int, low: Decimal | None, high: Decimal | None) -> Decimal | None:
-    """The value of a rank among all, if it lies between low and high."""
-    below = F.lit(False) if low is None else F.col("v") < F.lit(low)
-    within = F.lit(True) if high is None else F.col("v") <= F.lit(high)
-    # What is below the bracket is one row.
-    counted = (
-        values.filter(within)
-        .groupBy(F.when(~below, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("up_to", F.sum("n").over(Window.orderBy(F.asc_nulls_first("v"))))
-    )
-    return counted.filter((F.col("up_to") >= rank) & (F.col("up_to") - F.col("n") < rank)).agg(F.min("v").alias("v")).first()["v"]
-
-
-def high_value_guests(orders: DataFrame, q: float = 0.9) -> DataFrame:
-    """Guest orders at or above the exact q-quantile of guest order revenue: a list of leads."""
     threshold = F.lit(exact_quantile(orders, "order_revenue", q)).cast(orders.schema["order_revenue"].dataType)
     return orders.filter(F.col("order_revenue") >= threshold).withColumn("threshold", round2(threshold))
 

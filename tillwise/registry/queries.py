@@ -18,7 +18,19 @@ from tillwise.operators import sheets
 from tillwise.operators.facts import FACT_INPUT
 from tillwise.plans import sql_reports
 from tillwise.plans.growth import GrowthReport, consistency, growth_report, headline
-from tillwise.sources import LINE_COLUMNS, lines_of_csv_text, read_table, shared_path, stage, star_lines
+from tillwise.sources import (
+    LINE_COLUMNS,
+    current,
+    fingerprint,
+    layout,
+    lines_of_csv_text,
+    read_table,
+    shared_path,
+    staged,
+    star_lines,
+    star_paths,
+    written,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +44,7 @@ RULES = STAR_CONFIG.rules
 BASE = STAR_CONFIG.window.month(STAR_CONFIG.months.base)
 PEAK = STAR_CONFIG.window.month(STAR_CONFIG.months.peak)
 TESTED = ["InvoiceNo", "StockCode", "Quantity", "UnitPrice"]
+GUEST_INPUT = [*FACT_INPUT, "Country"]
 CLEAN_DATED = ["InvoiceNo", "StockCode", "Quantity", "UnitPrice", "InvoiceDate"]
 
 
@@ -60,6 +73,23 @@ def _facts(build: Callable[[DataFrame], DataFrame]) -> Query:
     return _lines(lambda lines: build(facts.line_facts(lines, RULES)), FACT_INPUT)
 
 
+def _bucketed(build: Callable[[DataFrame], DataFrame], columns: list[str]) -> Query:
+    """A query on the line table over a co-partitioned layout, which is written once for all queries of a session on the same files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = fingerprint(spark, *star_paths(sf_dir))
+
+        def write(path: str) -> str:
+            buckets = layout.bucket_count(sum(size for _, size, _ in files))
+            layout.write_star_layout(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), path, buckets)
+            return path
+
+        path = current(spark).made((files, "layout"), "star_layout", write, lambda path: layout.close_star_layout(spark, path))
+        return portable(build(layout.layout_lines(spark, path, columns)))
+
+    return run
+
+
 def _report(build: Callable[[GrowthReport], DataFrame]) -> Query:
     """A query on several results, all from one read of the lines."""
     return lambda spark, sf_dir: portable(
@@ -200,9 +230,28 @@ def _cards(lines: DataFrame) -> DataFrame:
     return sheets.metric_cards(*headline(lines, STAR_CONFIG), STAR_CONFIG)
 
 
-def _leads(lines: DataFrame) -> DataFrame:
-    # Staged, as the quantile reads the orders twice before the leads do.
-    return followups.high_value_guests(stage(followups.guest_orders(lines, RULES), "guest_orders"))
+def _leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The high-value guest orders, staged once for all queries of a session on the same files.
+
+    Their quantile reads the guest orders twice before the leads do, so these are staged too, until the leads are written.
+    """
+
+    def write(path: str) -> DataFrame:
+        orders = followups.guest_orders(star_lines(spark, sf_dir, GUEST_INPUT), RULES)
+        with staged(orders, "guest_orders") as known:
+            return written(followups.high_value_guests(known), path)
+
+    return current(spark).made((fingerprint(spark, *star_paths(sf_dir)), "guest_leads"), "guest_leads", write)
+
+
+def _guest_leads(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query on the high-value guest orders."""
+    return lambda spark, sf_dir: portable(build(_leads(spark, sf_dir)))
+
+
+def _lead_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = star_lines(spark, sf_dir, FACT_INPUT)
+    return portable(followups.guest_lead_products(lines, RULES, _leads(spark, sf_dir)))
 
 
 def _last_word() -> Column:
@@ -210,12 +259,16 @@ def _last_word() -> Column:
 
 
 def queries() -> dict[str, Query]:
-    guest_input = [*FACT_INPUT, "Country"]
     out: dict[str, Query] = {
         # sources
         "scan_retail": _lines(lambda lines: lines, LINE_COLUMNS),
         "scan_csv": _lines(_scan_csv, LINE_COLUMNS),
         "scan_table": _lines(_scan_table, LINE_COLUMNS),
+        # the same from a co-partitioned layout
+        "bucketed_scan": _bucketed(lambda lines: lines, LINE_COLUMNS),
+        "bucketed_daily_stats": _bucketed(
+            lambda lines: kpi.daily_stats(facts.line_facts(lines, RULES), STAR_CONFIG.window), FACT_INPUT
+        ),
         # cleaning
         "clean_lines": _lines(lambda lines: cleaning.clean(lines, RULES), LINE_COLUMNS),
         "enriched_lines": _lines(lambda lines: cleaning.enrich(cleaning.clean(lines, RULES)), LINE_COLUMNS),
@@ -290,16 +343,12 @@ def queries() -> dict[str, Query]:
         ),
         # follow-up questions
         "ext_top_sku": _lines(lambda lines: followups.top_products(lines, RULES, PEAK), CLEAN_DATED),
-        "ext_guest_leads": _lines(_leads, guest_input),
-        "ext_guest_by_country": _lines(
-            lambda lines: followups.guest_leads_by(_leads(lines), F.col("country"), "country"), guest_input
-        ),
-        "ext_guest_by_size": _lines(
-            lambda lines: followups.guest_leads_by(_leads(lines), followups.order_size_band(), "size_band"), guest_input
-        ),
-        "ext_guest_by_product": _lines(
-            lambda lines: followups.guest_lead_products(lines, RULES, _leads(lines)), guest_input
+        "ext_guest_leads": _guest_leads(lambda leads: leads),
+        "ext_guest_by_country": _guest_leads(lambda leads: followups.guest_leads_by(leads, F.col("country"), "country")),
+        "ext_guest_by_size": _guest_leads(
+            lambda leads: followups.guest_leads_by(leads, followups.order_size_band(), "size_band")
         ),
+        "ext_guest_by_product": _lead_products,
         "ext_repeat_vs_churn": _lines(lambda lines: followups.repeat_vs_one_time(lines, RULES, _last_day()), FACT_INPUT),
         "ext_recontact": _facts(
             lambda clean: followups.recontact_list(clean, _last_day())

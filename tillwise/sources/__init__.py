@@ -9,8 +9,8 @@ from tillwise.sources.lines import (
     read_parquet,
     read_table,
 )
-from tillwise.sources.shared import Tables, current, of_application, release, shared_folder, shared_path, stage, staged
-from tillwise.sources.star import orphans, star_lines
+from tillwise.sources.shared import Tables, current, fingerprint, of_application, release, shared_folder, shared_path, stage, staged, written
+from tillwise.sources.star import orphans, star_lines, star_paths
 
 __all__ = [
     "LINE_COLUMNS",
@@ -18,6 +18,7 @@ __all__ = [
     "Tables",
     "conform",
     "current",
+    "fingerprint",
     "lines_of_csv_text",
     "of_application",
     "orphans",
@@ -30,4 +31,6 @@ __all__ = [
     "stage",
     "staged",
     "star_lines",
+    "star_paths",
+    "written",
 ]

@@ -13,10 +13,12 @@ import uuid
 from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager, suppress
 from contextvars import ContextVar
+from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+T = TypeVar("T")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,17 +36,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _file(spark: SparkSession, path: str):
+def file_of(spark: SparkSession, path: str):
     """The path and its file system, whichever store it is in."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    target, store = _file(spark, path)
+    target, store = file_of(spark, path)
     store.delete(target, True)
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> tuple:
+    """Name, size and time of every file of some tables: what a table that is staged for later askers derives from."""
+    found = []
+    for path in paths:
+        target, store = file_of(spark, path)
+        for status in store.listStatus(target):
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 class Tables:
     """Staged tables with one lifetime: all that are staged while it is open go when it closes.
 
@@ -58,7 +70,8 @@ class Tables:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self._paths: set[str] = set()
-        self._once: dict[Hashable, tuple[str, DataFrame]] = {}
+        self._once: dict[Hashable, tuple[str, Any]] = {}
+        self._ends: dict[str, Callable[[], None]] = {}
         self._readers: dict[Hashable, int] = {}
         self._lock = threading.RLock()
         self._opened: list = []
@@ -68,20 +81,29 @@ class Tables:
         with self._lock:
             if not self._paths:
                 # The driver removes the folder when it ends, so that an owner nobody closes leaves nothing either.
-                target, store = _file(self.spark, shared_folder(self.spark))
+                target, store = file_of(self.spark, shared_folder(self.spark))
                 store.mkdirs(target)
                 store.deleteOnExit(target)
             self._paths.add(path)
 
-    def once(self, key: Hashable, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The table under a key; built and staged by the first who asks, and again after its deletion."""
+    def made(self, key: Hashable, name: str, make: Callable[[str], T], end: Callable[[str], None] | None = None) -> T:
+        """What ``make`` writes at a path and returns; for the first who asks for the key, and again after its deletion.
+
+        ``end`` is called with the path before it is deleted.
+        """
         with self._lock:
             if key not in self._once:
                 path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
                 self.add(path)
-                self._once[key] = (path, _written(build(), path))
+                if end is not None:
+                    self._ends[path] = lambda: end(path)
+                self._once[key] = (path, make(path))
             return self._once[key][1]
 
+    def once(self, key: Hashable, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table under a key, built and staged once."""
+        return self.made(key, name, lambda path: written(build(), path))
+
     @contextmanager
     def reader(self, key: Hashable, name: str, build: Callable[[], DataFrame]) -> Iterator[DataFrame]:
         """The table under a key for results that are computed in this block; the last reader deletes it."""
@@ -105,6 +127,7 @@ class Tables:
     def remove(self, path: str) -> None:
         with self._lock:
             self._paths.discard(path)
+            self._ends.pop(path, lambda: None)()
             delete(self.spark, path)
 
     def release(self) -> None:
@@ -118,7 +141,7 @@ class Tables:
         """The result of the work in this block, written for the owner around it; all else goes as the block ends."""
         path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         (self._outer or of_application(self.spark)).add(path)
-        return _written(frame, path)
+        return written(frame, path)
 
     def __enter__(self) -> Tables:
         self._outer = current(self.spark)
@@ -151,7 +174,8 @@ def release(spark: SparkSession) -> None:
         owner.release()
 
 
-def _written(frame: DataFrame, path: str) -> DataFrame:
+def written(frame: DataFrame, path: str) -> DataFrame:
+    """A frame written to a path and read back from there."""
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
@@ -162,7 +186,7 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     Unlike a cached frame the table outlives lost executors, and every reader scans only the
     columns it needs.
     """
-    return _written(frame, shared_path(frame.sparkSession, name))
+    return written(frame, shared_path(frame.sparkSession, name))
 
 
 @contextmanager
@@ -171,7 +195,7 @@ def staged(frame: DataFrame, name: str) -> Iterator[DataFrame]:
     spark = frame.sparkSession
     owner, path = current(spark), shared_path(spark, name)
     try:
-        yield _written(frame, path)
+        yield written(frame, path)
     finally:
         with suppress(KeyError):
             owner.remove(path)

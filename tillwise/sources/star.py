@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,20 @@ _FROM_ORDERS = {"InvoiceDate", "CustomerID", "Country"}
 _FROM_PART = {"UnitPrice", "Description"}
 
 
+STAR_TABLES = ("lineitem", "orders", "part", "customer", "nation")
+
+
+def star_paths(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{name}.parquet" for name in STAR_TABLES]
+
+
 def star_lines(spark: SparkSession, sf_dir: str, columns: Iterable[str] = LINE_COLUMNS) -> DataFrame:
-    """The line table, or just some of its columns, over every row of ``lineitem``.
+    """The line table, or just some of its columns, over the Parquet tables of a folder."""
+    return lines_of_star(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), columns)
+
+
+def lines_of_star(table: Callable[[str], DataFrame], columns: Iterable[str] = LINE_COLUMNS) -> DataFrame:
+    """The line table, or just some of its columns, over every row of ``lineitem``; ``table`` gives a table by its name.
 
     Contract: every line's order and part, and that order's customer and nation, exist (``orphans`` counts
     those that do not). Then a join that would only add unwanted columns changes nothing and is not written:
@@ -23,10 +35,6 @@ def star_lines(spark: SparkSession, sf_dir: str, columns: Iterable[str] = LINE_C
     sizes, and beyond that adaptive execution splits hot order or part keys of a sort-merge join.
     """
     wanted = [c for c in LINE_COLUMNS if c in set(columns)]
-
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
     is_return = F.col("l_returnflag") == "R"
     order_text = F.col("l_orderkey").cast("string")
     part_text = F.col("l_partkey").cast("string")
