@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.config import AnalysisConfig
-from tillwise.functions import month_diff, month_index, month_text, month_text_of_index, pct
+from tillwise.functions import month_diff, month_text, month_text_of_index, pct
+from tillwise.operators.activity import MonthRange, cohort_counts, member_activity, member_offsets, observed_months
 
 
 def first_orders(facts: DataFrame) -> DataFrame:
@@ -23,26 +24,10 @@ def first_orders(facts: DataFrame) -> DataFrame:
     )
 
 
-def member_months(facts: DataFrame) -> DataFrame:
-    """One row per member and active month: CustomerID, cohort and month_diff as integers.
-
-    The distinct step combines a member's lines before the shuffle, so the window over a member
-    sees one row per active month however many lines that member has, and the lines are scanned
-    once instead of joined with themselves.
-    """
-    active = (
-        facts.filter(F.col("CustomerID").isNotNull())
-        .select("CustomerID", month_index(F.col("order_date")).alias("month"))
-        .distinct()
-    )
-    cohort = F.min("month").over(Window.partitionBy("CustomerID"))
-    return active.withColumn("cohort", cohort).select(
-        "CustomerID", "cohort", (F.col("month") - F.col("cohort")).alias("month_diff")
-    )
-
-
-def orders_with_cohort(facts: DataFrame) -> DataFrame:
-    return member_months(facts).select(
+def orders_with_cohort(facts: DataFrame, months: MonthRange | None = None) -> DataFrame:
+    """One row per member and active month. ``months`` as for ``cohort_retention``."""
+    months = months or observed_months(facts)
+    return member_offsets(member_activity(facts, months), months).select(
         F.col("CustomerID").cast("string").alias("customer_id"),
         month_text_of_index(F.col("cohort")).alias("cohort_month"),
         "month_diff",
@@ -70,20 +55,15 @@ def cohort_sizes(firsts: DataFrame) -> DataFrame:
     return firsts.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("new_users"))
 
 
-def cohort_retention(facts: DataFrame, config: AnalysisConfig) -> DataFrame:
+def cohort_retention(facts: DataFrame, config: AnalysisConfig, months: MonthRange | None = None) -> DataFrame:
     """Members of each cohort who were active again after 0..max months. No row where none was.
 
-    A member's rows are distinct by month, so counting rows counts members. Every member is active
-    at offset 0, which makes that row the size of the cohort.
+    Counted from the bits of one row per member. ``months`` must cover all facts; without it a job looks for their first and
+    last month.
     """
-    retained = (
-        member_months(facts)
-        .filter(F.col("month_diff").between(0, config.max_month_diff))
-        .groupBy("cohort", "month_diff")
-        .agg(F.count(F.lit(1)).alias("retained_users"))
-    )
-    size = F.max(F.when(F.col("month_diff") == 0, F.col("retained_users"))).over(Window.partitionBy("cohort"))
-    return retained.withColumn("new_users", size).select(
+    months = months or observed_months(facts)
+    counts = cohort_counts(member_activity(facts, months), months, config.max_month_diff)
+    return counts.select(
         month_text_of_index(F.col("cohort")).alias("cohort_month"),
         "month_diff",
         "retained_users",

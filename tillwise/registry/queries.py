@@ -15,6 +15,7 @@ from tillwise import sinks
 from tillwise.config import AnalysisConfig, CleaningRules, DayWindow, InsightMonths
 from tillwise.operators import calendar, cleaning, cohort, documents, facts, followups, guest, kpi, profile, quality
 from tillwise.operators import sheets
+from tillwise.operators.activity import MonthRange
 from tillwise.operators.facts import FACT_INPUT
 from tillwise.plans import sql_reports
 from tillwise.plans.growth import GrowthReport, consistency, growth_report, headline
@@ -106,7 +107,7 @@ def _monthly_mom(clean: DataFrame) -> DataFrame:
 
 
 def _retention(clean: DataFrame) -> DataFrame:
-    return cohort.cohort_retention(clean, STAR_CONFIG)
+    return cohort.cohort_retention(clean, STAR_CONFIG, MonthRange.of(STAR_CONFIG.window))
 
 
 def _matrix(clean: DataFrame) -> DataFrame:
@@ -291,7 +292,7 @@ def queries() -> dict[str, Query]:
         # retention
         "first_orders": _facts(cohort.first_orders),
         "join_first_orders": _facts(cohort.join_first_orders),
-        "orders_with_cohort": _facts(cohort.orders_with_cohort),
+        "orders_with_cohort": _facts(lambda clean: cohort.orders_with_cohort(clean, MonthRange.of(STAR_CONFIG.window))),
         "cohort_sizes": _facts(lambda clean: cohort.cohort_sizes(cohort.first_orders(clean))),
         "cohort_retention_long": _facts(_retention),
         "cohort_retention_matrix": _facts(_matrix),
