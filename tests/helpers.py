@@ -34,3 +34,25 @@ def line(
 
 def lines(spark: SparkSession, *rows) -> DataFrame:
     return spark.createDataFrame(list(rows), LINE_SCHEMA)
+
+
+def shuffled_rows(frame: DataFrame) -> int:
+    """Rows that all exchanges of a frame's plan write when it is computed."""
+    frame.collect()
+
+    def rows(node) -> int:
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return rows(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return rows(node.plan())
+        if name == "ReusedExchangeExec":
+            return 0
+        own = 0
+        if name == "ShuffleExchangeExec":
+            metric = node.metrics().get("shuffleRecordsWritten")
+            own = metric.get().value()
+        children = node.children()
+        return own + sum(rows(children.apply(i)) for i in range(children.size()))
+
+    return rows(frame._jdf.queryExecution().executedPlan())

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tillwise import functions as fn
 from tillwise import sinks
 from tillwise.config import AnalysisConfig, CleaningRules, DayWindow, InsightMonths
-from tillwise.operators import calendar, cleaning, cohort, documents, facts, followups, guest, kpi, profile, quality
+from tillwise.operators import calendar, cleaning, cohort, distinct, documents, facts, followups, guest, kpi, profile, quality
 from tillwise.operators import sheets
 from tillwise.operators.activity import MonthRange
 from tillwise.operators.facts import FACT_INPUT
@@ -91,6 +91,19 @@ def _bucketed(build: Callable[[DataFrame], DataFrame], columns: list[str]) -> Qu
     return run
 
 
+def _bitmaps(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query on the bitmaps of the clean lines, which are staged once for all queries of a session on the same files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def state() -> DataFrame:
+            return distinct.distinct_state(facts.line_facts(star_lines(spark, sf_dir, FACT_INPUT), RULES))
+
+        key = (fingerprint(spark, *star_paths(sf_dir)), "distinct_state")
+        return portable(build(current(spark).once(key, "distinct_state", state)))
+
+    return run
+
+
 def _report(build: Callable[[GrowthReport], DataFrame]) -> Query:
     """A query on several results, all from one read of the lines."""
     return lambda spark, sf_dir: portable(
@@ -270,6 +283,9 @@ def queries() -> dict[str, Query]:
         "bucketed_daily_stats": _bucketed(
             lambda lines: kpi.daily_stats(facts.line_facts(lines, RULES), STAR_CONFIG.window), FACT_INPUT
         ),
+        # the same from one table of bitmaps
+        "bitmap_daily_stats": _bitmaps(lambda state: distinct.daily_stats(state, STAR_CONFIG.window)),
+        "bitmap_profile_clean": _bitmaps(distinct.profile_clean),
         # cleaning
         "clean_lines": _lines(lambda lines: cleaning.clean(lines, RULES), LINE_COLUMNS),
         "enriched_lines": _lines(lambda lines: cleaning.enrich(cleaning.clean(lines, RULES)), LINE_COLUMNS),
