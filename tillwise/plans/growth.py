@@ -59,7 +59,7 @@ class GrowthReport:
         )
 
     def write(self, folder: str) -> None:
-        """The five result tables as CSV and the two documents as JSON."""
+        """The five result tables as CSV and the two documents as JSON, published as one: a failure leaves the old report whole."""
         tables = {
             "data_quality_steps": (self.quality_steps, []),
             "monthly_kpi": (self.monthly_kpi, ["order_month"]),
@@ -67,10 +67,11 @@ class GrowthReport:
             "cohort_retention_matrix": (self.cohort_retention_matrix, ["cohort_month"]),
             "guest_metrics": (self.guest_metrics, ["order_month"]),
         }
-        for name, (frame, order_by) in tables.items():
-            sinks.write_csv(frame, f"{folder}/{name}.csv", order_by)
-        sinks.write_json(self.dashboard, f"{folder}/dashboard_data.json")
-        sinks.write_json(self.summary, f"{folder}/analysis_summary.json")
+        with sinks.publication(self.monthly_kpi.sparkSession, folder) as aside:
+            for name, (frame, order_by) in tables.items():
+                sinks.write_csv(frame, f"{aside}/{name}.csv", order_by)
+            sinks.write_json(self.dashboard, f"{aside}/dashboard_data.json")
+            sinks.write_json(self.summary, f"{aside}/analysis_summary.json")
 
 
 def growth_report(lines: DataFrame, config: AnalysisConfig, source_file: str = "") -> GrowthReport:
