@@ -1,4 +1,4 @@
-"""Full report from the command line: python -m tillwise LINES OUT [--format F] [--first-day D --last-day D]."""
+"""Full report from the command line: python -m tillwise LINES OUT [--format F] [--first-day D --last-day D] [--ledger STORE]."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.config import AnalysisConfig, DayWindow, InsightMonths
+from tillwise.config import AnalysisConfig, CleaningRules, DayWindow, InsightMonths
+from tillwise.plans.daily import LedgerStore
 from tillwise.plans.growth import growth_report
 from tillwise.session import apply_settings
 from tillwise.sources import read_csv, read_parquet, read_table
@@ -23,6 +24,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--last-day", type=date.fromisoformat, help="of the analysis; the last day with a line if left out")
     parser.add_argument("--timestamp-format", default="yyyy-MM-dd HH:mm:ss", help="of InvoiceDate in CSV")
     parser.add_argument("--input-gb", type=float, help="size of the lines; sets scan and shuffle sizes to match")
+    parser.add_argument("--ledger", help="folder of a ledger by days; LINES are merged into it and the report covers all its days")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("tillwise").getOrCreate()
@@ -33,9 +35,17 @@ def main(argv: list[str] | None = None) -> None:
         lines = read_csv(spark, args.lines, timestamp_format=args.timestamp_format)
     else:
         lines = read_parquet(spark, args.lines) if kind == "parquet" else read_table(spark, args.lines)
-    window = observed_window(lines, args.first_day, args.last_day)
+    source_file = args.lines.rstrip("/").rsplit("/", 1)[-1]
+    if args.ledger:
+        store = LedgerStore(spark, args.ledger, CleaningRules())
+        merged = store.merge(lines)
+        print(f"{merged.lines} lines read, {merged.added} days added, {merged.replaced} days replaced")
+        known = store.window()
+        window = DayWindow(args.first_day or known.start, args.last_day or known.end)
+    else:
+        window = observed_window(lines, args.first_day, args.last_day)
     config = AnalysisConfig(window=window, months=InsightMonths.of(window))
-    report = growth_report(lines, config, source_file=args.lines.rstrip("/").rsplit("/", 1)[-1])
+    report = store.report(config, source_file) if args.ledger else growth_report(lines, config, source_file)
     report.write(args.out)
     print(spark.read.text(f"{args.out}/analysis_summary.json", wholetext=True).first()[0])
 

@@ -81,9 +81,14 @@ def growth_report(lines: DataFrame, config: AnalysisConfig, source_file: str = "
     deleted again. The jobs run here, not when the results are read.
     """
     with staged(facts.order_ledger(lines, config.rules), "order_ledger") as ledger:
-        report = report_of_ledger(ledger, config, source_file)
-        values = {f.name: getattr(report, f.name) for f in fields(report)}
-        return replace(report, **settled({name: v for name, v in values.items() if isinstance(v, DataFrame)}))
+        return settled_report(ledger, config, source_file)
+
+
+def settled_report(ledger: DataFrame, config: AnalysisConfig, source_file: str = "") -> GrowthReport:
+    """The results on a ledger that is there already, computed here as small local frames."""
+    report = report_of_ledger(ledger, config, source_file)
+    values = {f.name: getattr(report, f.name) for f in fields(report)}
+    return replace(report, **settled({name: v for name, v in values.items() if isinstance(v, DataFrame)}))
 
 
 def report_of_ledger(ledger: DataFrame, config: AnalysisConfig, source_file: str = "") -> GrowthReport:

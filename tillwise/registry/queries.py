@@ -18,9 +18,11 @@ from tillwise.operators import sheets
 from tillwise.operators.activity import MonthRange
 from tillwise.operators.facts import FACT_INPUT
 from tillwise.plans import sql_reports
+from tillwise.plans.daily import LedgerStore
 from tillwise.plans.growth import GrowthReport, consistency, growth_report, headline
 from tillwise.sources import (
     LINE_COLUMNS,
+    Tables,
     current,
     fingerprint,
     layout,
@@ -111,6 +113,17 @@ def _report(build: Callable[[GrowthReport], DataFrame]) -> Query:
     )
 
 
+def _merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary document from a ledger that has taken in all lines in two merges, the last month in both."""
+    lines = star_lines(spark, sf_dir, FACT_INPUT)
+    last_month = F.lit(f"{STAR_CONFIG.window.last_month}-01").cast("timestamp_ntz")
+    with Tables(spark):
+        store = LedgerStore(spark, shared_path(spark, "ledger"), RULES)
+        store.merge(lines)
+        store.merge(lines.filter(F.col("InvoiceDate") >= last_month))
+        return portable(documents.document_values(store.report(STAR_CONFIG, source_file="lineitem").summary))
+
+
 def _monthly(clean: DataFrame) -> DataFrame:
     return kpi.monthly_kpi(kpi.daily_stats(clean, STAR_CONFIG.window))
 
@@ -331,6 +344,7 @@ def queries() -> dict[str, Query]:
         "order_ledger": _lines(lambda lines: facts.order_ledger(lines, RULES), FACT_INPUT),
         "insights": _lines(_insights, FACT_INPUT),
         "summary_document": _report(lambda report: documents.document_values(report.summary)),
+        "merged_summary_document": _merged_summary,
         "summary_values": _report(_summary_values),
         "dashboard_bundle": _report(lambda report: documents.document_values(report.dashboard)),
         "sink_csv": _report(_sink_csv),
