@@ -88,3 +88,55 @@ def test_round_trip_of_a_whole_table(spark, tokenizer):
     _check(found, texts, tokenizer)
     tokens = sum(r.length for r in found)
     assert len({r.sequence_id for r in found}) <= tokens / 1024 + 3 * 8
+
+
+BLANKS = {"blanks": " ", "ends": "\n", "tabs": "\t", "mixed": " \n\t \r　"}
+
+
+@pytest.mark.parametrize("kind", sorted(BLANKS))
+def test_long_white_space_is_packed(spark, kind):
+    """A million blanks of each kind, alone and inside of words, in the encoder and through ``pack``."""
+    run = (BLANKS[kind] * 1_000_000)[:1_000_000]
+    texts = [run, f"a{run}b", f"some words {run}and more", "short"]
+    plain = Tokenizer.from_file(vocabulary_path())
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [encoder(vocabulary_path()).encode(t).tolist() for t in texts] == wanted
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in packing.pack(docs, vocabulary_path()).orderBy("doc_id", "piece").collect():
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert [got[i] for i in range(len(texts))] == [ids + [packing.END_OF_TEXT] for ids in wanted]
+
+
+def test_files_with_other_splits_are_left_to_their_library(tmp_path):
+    import json
+
+    content = json.loads(open(vocabulary_path(), encoding="utf-8").read())
+    for change in ({"pre_tokenizer": content["pre_tokenizer"] | {"add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(content | change), encoding="utf-8")
+        plain = Tokenizer.from_file(str(path))
+        from tillwise.llm.tokens import Encoder
+
+        for text in ("Hello World", " x", "ABC def\n\n"):
+            assert Encoder(str(path)).encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_bins_are_those_of_a_plain_best_fit():
+    dice = random.Random(6)
+    for capacity, most in ((1024, 512), (100, 8), (10, 1)):
+        bins, free, made = packing.BestFit(capacity, most), [], 0
+        for _ in range(5000):
+            length = dice.randrange(1, capacity + 1)
+            fitting = [f for f in free if f >= length]
+            if fitting:
+                space = min(fitting)
+                free.remove(space)
+            else:
+                if len(free) >= most:
+                    free.remove(min(free))
+                space, made = capacity, made + 1
+            if space > length:
+                free.append(space - length)
+            number, offset = bins.place(length)
+            assert offset == capacity - space and number < made
