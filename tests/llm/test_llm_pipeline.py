@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from tillwise.llm import chat, queries, toxicity
+from tillwise.sources import Tables, shared_folder
 
 SF_DIR = os.environ.get("TILLWISE_SF_DIR", "/root/testdata/sf0.01")
 SMALL = "/root/testdata/sf0.001"
@@ -97,6 +98,16 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
     assert pack(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_the_pipeline_keeps_its_last_documents_alone(spark):
+    folder = Path(shared_folder(spark))
+    outside = set(folder.glob("*"))
+    with Tables(spark):
+        packed = corpus_pipeline.run(spark, SMALL)
+        assert [p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - outside] == ["pipeline_benchmark_decontamination"]
+        assert packed.count() > 0
+    assert set(folder.glob("*")) == outside
+
+
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more?"), (1, 3, "assistant", "yes"),
     (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "more?"), (2, 3, "assistant", "no é\U0001f600"), (2, 4, "user", "bye"),
