@@ -7,6 +7,7 @@ queries of ``tillwise.llm.queries``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillwise.llm import decontamination, dedup_exact, packing, simhash, toxicity
 from tillwise.llm import queries as llm
-from tillwise.sources.shared import stage
+from tillwise.sources.shared import Tables, current, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,8 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each but the last is written to the shared folder and read again."""
-    docs = llm.table(spark, sf_dir, "documents")
+    """All stages on ``documents``; each but the last is written to the shared folder and read again.
+
+    What a stage's operator stages goes when the stage is written, and a stage's documents when the next one's are.
+    """
+    docs, owner, before = llm.table(spark, sf_dir, "documents"), current(spark), None
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline_{name}")
+        key = (name, uuid.uuid4())
+        with Tables(spark):
+            docs = owner.made(key, f"pipeline_{name}", lambda path, apply=apply, docs=docs: written(apply(spark, docs, sf_dir), path))
+        owner.drop(before)
+        before = key
     return STAGES[-1][1](spark, docs, sf_dir)
