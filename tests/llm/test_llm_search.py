@@ -2,13 +2,17 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 from dataclasses import replace
 
 import pytest
 from llm_cases import ODD, contamination, frame
 
+from pyspark.sql import functions as F
+
 from tillwise.llm import decontamination, licenses, secrets, url_filter
+from tillwise.llm.arrays import with_running_sum
 
 VOCABULARY = [f"w{i}" for i in range(40)] + ["the", "of", "and"]
 
@@ -165,6 +169,28 @@ def test_secrets_equal_plain_regexes(spark):
     assert only == sum(n[2][2] * c for n, c in wanted.items())
 
 
+def test_many_matches_in_one_text_cost_in_proportion(spark):
+    """32,000 matches take some four times 8,000, and stand where the regex finds them."""
+    rule, took = secrets.BASE_RULES[0], {}
+    for n in (8, 8_000, 32_000):
+        text = "".join(f"é token=abcdef{i} " for i in range(n))
+        documents = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        started = time.perf_counter()
+        (row,) = secrets.find_secrets(documents, [rule]).collect()
+        took[n] = time.perf_counter() - started
+        assert [(s.start, s.end) for s in row.spans] == secrets.plain_matches(text, rule)
+    assert took[32_000] - took[8] < 8 * max(took[8_000] - took[8], 1.0)
+
+
+def test_running_sums(spark):
+    rows = [(0, []), (1, [5]), (2, list(range(100))), (3, None)]
+    frame = spark.createDataFrame(rows, "id int, of array<int>")
+    items = F.transform("of", lambda x: F.struct(x.alias("n"), F.lit("k").alias("name")))
+    found = {r.id: r.sums for r in frame.select("id", with_running_sum(items, "n", ["n", "name"]).alias("sums")).collect()}
+    for number, of in rows:
+        assert found[number] == (None if of is None else [(sum(of[: i + 1]), "k") for i in range(len(of))])
+
+
 def test_license_notices_in_odd_and_altered_texts(spark):
     apache, bsd = licenses.NOTICES["apache-2.0"], licenses.NOTICES["bsd"]
     altered = bsd.replace("are met", "were met")

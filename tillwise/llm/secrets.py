@@ -7,7 +7,8 @@ trigrams searches every text. Texts are identified by a hash, so copies are one
 with one hash only mean that one more text is verified.
 
 Everything is done by DataFrame functions. Positions come from splitting a text at a rule's matches: the
-pieces and the matches alternate.
+pieces and the matches alternate, and their lengths are summed up. The postings hold only the trigrams that the rules ask
+for, so they are made anew for each set of rules.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from re import _parser as regex_tree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.llm.arrays import with_running_sum
 from tillwise.sources.shared import stage, staged
 
 #: Texts per shard of the index, on average; bounds the lists that are intersected.
@@ -162,18 +164,19 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     pattern = F.lit(rule.pattern)
     gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     measured = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    parts = F.arrays_zip(gaps.alias("gap"), found.alias("match"), measured.alias("part"))
-    none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        long = F.length(x["part"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(long, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    whole = F.filter(parts, lambda x: x["match"].isNotNull())
-    return F.aggregate(whole, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    parts = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("match"), measured.alias("part")), lambda x: x["match"].isNotNull())
+
+    def measure(x: Column) -> Column:
+        size = F.length(x["match"])
+        return F.struct((F.length(x["gap"]) + size).alias("end"), size.alias("size"), F.length(x["part"]).alias("part"))
+
+    placed = with_running_sum(F.transform(parts, measure), "end", ["end", "size", "part"])
+    return F.transform(
+        F.filter(placed, lambda x: x["part"] >= rule.least),
+        lambda x: F.struct(
+            (x["end"] - x["size"]).alias("start"), F.lit(number).alias("number"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")
+        ),
+    )
 
 
 def find_secrets(
