@@ -145,3 +145,31 @@ def test_pairs_do_not_depend_on_the_bucket(spark):
     talks = chat.whole_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     pairs = [Counter((r.chosen_id, r.rejected_id) for r in chat.opening_pairs(talks, b).collect()) for b in (1, 64, 10_000)]
     assert pairs[0] == pairs[1] == pairs[2] and sum(pairs[0].values()) == len(rows) - 3
+
+
+def test_pairs_of_text_and_sparse_ids(spark):
+    ids = {"string": [f"c{i * 7919 % 1000:03d}" for i in range(300)], "long": [(i * 0x9E3779B97F4A7C15 & (1 << 62) - 1) for i in range(300)]}
+    for kind, names in ids.items():
+        rows = [(c, 0, "user", f"opening {i % 3 if i % 4 else 0}") for i, c in enumerate(names)]
+        rows += [(c, 1, "assistant", f"reply {i}") for i, c in enumerate(names) if i % 5]
+        talks = chat.whole_conversations(spark.createDataFrame(rows, f"conv_id {kind}, turn long, role string, text string"))
+        opening, answered = dict((r[0], r[3]) for r in rows if r[1] == 0), sorted(r[0] for r in rows if r[1] == 1)
+        wanted = set()
+        for text in set(opening.values()):
+            own = sorted(c for c in names if opening[c] == text)
+            wanted |= set(zip(own, own[1:]))
+        for range_rows in (20, chat.RANGE_ROWS):
+            found = [(r.chosen_id, r.rejected_id) for r in chat.opening_pairs(talks, range_rows).collect()]
+            assert len(found) == len(wanted) and set(found) == wanted
+            swapped = [(r.chosen_id, r.rejected_id) for r in chat.swapped_reply_pairs(talks, range_rows=range_rows).collect()]
+            assert sorted(swapped) == list(zip(answered[1:], answered))
+
+
+def test_windows_over_ranges_see_one_row_each(spark):
+    """The only window without a key runs over the ends of ranges."""
+    rows = spark.range(2000).selectExpr("id * 1000003 as conv_id", "'same' as opening")
+    pairs = chat._predecessors(rows, ["opening"], 100)
+    assert sorted((r.before, r.conv_id) for r in pairs.collect()) == [(i * 1000003, (i + 1) * 1000003) for i in range(1999)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    keyless = plan[plan.index("windowspecdefinition(part") :]
+    assert "Aggregate [part" in keyless and plan.count("windowspecdefinition(part#") == 2

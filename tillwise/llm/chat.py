@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.llm.arrays import with_running_sum
+from tillwise.sources.shared import stage
+
 LEARNT_ROLE = "assistant"
-#: Conversations with neighbouring ids that are numbered together when pairs are formed.
-BUCKET = 512
+#: Conversations in one range of ids when pairs are formed, about.
+RANGE_ROWS = 1 << 16
 
 
 def _marker(turn: Column) -> Column:
@@ -30,16 +33,16 @@ def _render(turns: Column) -> Column:
 
 def _mask(turns: Column, learnt_role: str) -> Column:
     """Spans start:end, in code points, of the texts of the learnt role and their final line ends."""
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
 
-    def step(acc: Column, turn: Column) -> Column:
-        start = acc["at"] + F.length(_marker(turn))
-        end = acc["at"] + F.length(_rendered(turn))
-        span = F.concat(start.cast("string"), F.lit(":"), end.cast("string"))
-        spans = F.when(turn["role"] == learnt_role, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.cast("long").alias("at"), spans.alias("spans"))
+    def measure(turn: Column) -> Column:
+        whole = F.length(_rendered(turn))
+        return F.struct(
+            whole.cast("long").alias("end"), (whole - F.length(_marker(turn))).alias("size"), (turn["role"] == learnt_role).alias("learnt")
+        )
 
-    return F.array_join(F.aggregate(turns, none, step, lambda acc: acc["spans"]), ",")
+    placed = with_running_sum(F.transform(turns, measure), "end", ["end", "size", "learnt"])
+    spans = F.transform(F.filter(placed, lambda x: x["learnt"]), lambda x: F.concat_ws(":", x["end"] - x["size"], x["end"]))
+    return F.array_join(spans, ",")
 
 
 def whole_conversations(
@@ -59,25 +62,33 @@ def whole_conversations(
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("turns"))
 
 
-def _predecessors(rows: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+def _predecessors(rows: DataFrame, keys: list[str], range_rows: int) -> DataFrame:
     """(conv_id, before): the greatest smaller id among the rows (conv_id, keys) with the same keys, if any.
 
-    Keys that a third of all conversations share are no single group: predecessors are looked up within
-    buckets of neighbouring ids, and a bucket's first row gets the last one of the bucket before.
+    Rows are cut into ranges of (keys, conv_id) of about ``range_rows`` rows, whatever the ids look like, so a key that a
+    third of all conversations share lies in many ranges. A row's predecessor is the row before it in its range; only the
+    first row of a range gets the last one of the range before, from a table with one row per range.
     """
-    placed = rows.withColumn("bucket", F.floor(F.col("conv_id") / bucket))
-    near = placed.select("conv_id", F.lag("conv_id").over(Window.partitionBy(*keys, "bucket").orderBy("conv_id")).alias("before"))
-    ends = placed.groupBy(*keys, "bucket").agg(F.min("conv_id").alias("conv_id"), F.max("conv_id").alias("last"))
-    far = ends.select("conv_id", F.lag("last").over(Window.partitionBy(*keys).orderBy("bucket")).alias("before"))
-    return near.unionByName(far).filter("before is not null")
-
-
-def opening_pairs(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    order = [*keys, "conv_id"]
+    ranges = max(1, -(-rows.count() // range_rows))
+    cut = rows.select(*order).repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
+    placed = stage(cut, "ranges")  # two readers must see the same ranges
+    row = F.struct(*order)
+    near = placed.select(row.alias("own"), F.lag(row).over(Window.partitionBy("part").orderBy(*order)).alias("prior"))
+    ends = placed.groupBy("part").agg(F.min(row).alias("own"), F.max(row).alias("last"))
+    far = ends.select("own", F.lag("last").over(Window.orderBy("part")).alias("prior"))
+    found = near.unionByName(far).filter(F.col("prior").isNotNull())
+    for key in keys:
+        found = found.filter(F.col("own")[key].eqNullSafe(F.col("prior")[key]))
+    return found.select("own.conv_id", F.col("prior.conv_id").alias("before"))
+
+
+def opening_pairs(conversations: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(chosen_id, rejected_id, chosen, rejected): each conversation, as the rejected one, with the one
-    before it, by id, that opens with the same turn."""
+    before it, by id, that opens with the same turn. Ids are of any type that sorts; texts sort by their UTF-8 bytes."""
     first = F.col("turns")[0]
     opening = F.sha2(F.to_json(F.struct(first["role"].alias("role"), first["text"].alias("text"))), 256)
-    before = _predecessors(conversations.select("conv_id", opening.alias("opening")), ["opening"], bucket)
+    before = _predecessors(conversations.select("conv_id", opening.alias("opening")), ["opening"], range_rows)
     pairs = before.select(F.col("before").alias("chosen_id"), F.col("conv_id").alias("rejected_id"))
     one = conversations.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"))
     two = conversations.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
@@ -85,13 +96,13 @@ def opening_pairs(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return joined.select("chosen_id", "rejected_id", "chosen", "rejected")
 
 
-def swapped_reply_pairs(conversations: DataFrame, *, learnt_role: str = LEARNT_ROLE, bucket: int = BUCKET) -> DataFrame:
+def swapped_reply_pairs(conversations: DataFrame, *, learnt_role: str = LEARNT_ROLE, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(chosen_id, rejected_id, chosen, rejected): each conversation up to its last reply, against the same
     with the last reply of the conversation before it, by id. Conversations without a reply are left out."""
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == learnt_role, i + 1)))
     answered = conversations.withColumn("n", last).filter("n is not null")
     replies = answered.select(F.col("conv_id").alias("rejected_id"), F.col("turns")[F.col("n") - 1]["text"].alias("other"))
-    before = _predecessors(answered.select("conv_id"), [], bucket)
+    before = _predecessors(answered.select("conv_id"), [], range_rows)
     pairs = before.select(F.col("conv_id").alias("chosen_id"), F.col("before").alias("rejected_id"))
     chosen = answered.select(F.col("conv_id").alias("chosen_id"), F.slice("turns", 1, F.col("n")).alias("chosen"), "n")
     joined = pairs.join(chosen, "chosen_id").join(replies, "rejected_id")
