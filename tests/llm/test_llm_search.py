@@ -223,3 +223,62 @@ def test_license_bands_and_anchors():
         shared = -(-own * 4 // 5)
         alike = shared / (own + wide - shared)
         assert (1 - alike**licenses.BAND_ROWS) ** size.bands <= 1 - licenses.FOUND_CHANCE + 1e-12
+
+
+def _region_containment(words, template):
+    own = set(licenses.shingle_list(template))
+    return len(own & set(licenses.shingle_list(words))) / len(own)
+
+
+@pytest.mark.parametrize("name", ["mit-grant", "gpl-header", "apache-2.0-header", "mit-text"])
+def test_no_notice_is_lost_by_its_place(spark, name):
+    """Words inserted at one place of a notice, at every offset to the grid of windows."""
+    template = licenses.template_words(licenses.NOTICES[name])
+    size, rows, wanted = licenses.WindowClass.of(len(template)), [], set()
+    for inserted in (0, 3, 5, size.allowance):
+        for cut in (1, len(template) // 2):
+            altered = template[:cut] + ["added"] * inserted + template[cut:]
+            for offset in range(size.stride):
+                for start in (offset, licenses.CHUNK_WORDS - len(template) // 2 + offset):
+                    rows.append((len(rows), " ".join(["x"] * start + altered + ["y"] * 300)))
+                    if _region_containment(altered, template) >= licenses.CONTAINMENT:
+                        wanted.add(rows[-1][0])
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r for r in licenses.find_licenses(documents, {name: licenses.NOTICES[name]}).collect()}
+    assert len(wanted) >= len(rows) // 2 and len(wanted - set(found)) <= 0.002 * len(wanted)
+    for doc_id, r in found.items():
+        asked, shown = licenses.shingle_list(template), licenses.shingle_list(rows[doc_id][1].split())
+        assert r.first_word == next(i for i, s in enumerate(shown) if s in asked)
+
+
+def test_altered_notices_are_found_as_by_plain_windows(spark):
+    """Recall on notices with words left out, replaced and inserted, against every stretch of the allowed length."""
+    r = random.Random(9)
+    names = ["bsd", "gpl-header", "isc-text", "mpl-2.0", "mit-licensed", "zlib-text", "cc0-waived", "epl-2.0"]
+    templates = {name: licenses.template_words(licenses.NOTICES[name]) for name in names}
+    rows, wanted = [], set()
+    for i in range(400):
+        name = names[i % len(names)]
+        words = list(templates[name])
+        for _ in range(r.randint(0, 1 + len(words) // 25)):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], ["other"], [words[at], "more", "words"]])
+        text = [f"w{r.randrange(90)}" for _ in range(r.randint(0, 200))] + words + [f"w{r.randrange(90)}" for _ in range(50)]
+        rows.append((i, " ".join(text)))
+        for own, template in templates.items():
+            most = len(template) + licenses.WindowClass.of(len(template)).allowance
+            if any(_region_containment(text[k : k + most], template) >= licenses.CONTAINMENT for k in range(max(1, len(text) - most + 1))):
+                wanted.add((i, own))
+    found = {(x.doc_id, x.license) for x in licenses.find_licenses(
+        spark.createDataFrame(rows, "doc_id long, text string"), {n: licenses.NOTICES[n] for n in names}).collect()}
+    assert len(wanted) > 150 and len(wanted - found) <= 0.002 * len(wanted)
+
+
+def test_parts_of_a_template_set_find_the_same(spark):
+    texts = [*licenses.NOTICES.values(), " ".join(licenses.NOTICES.values()), "license " * 9000 + licenses.NOTICES["isc-text"]]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, cut = (Counter(licenses.find_licenses(documents, part_words=n).collect()) for n in (licenses.PART_WORDS, 400))
+    assert whole == cut and {r.license for r in whole if r.doc_id == len(licenses.NOTICES)} == set(licenses.NOTICES)
+    assert any(r.doc_id == len(texts) - 1 and r.license == "isc-text" and r.containment == 1.0 for r in whole)
+    worded = {name: licenses.template_words(text) for name, text in licenses.NOTICES.items()}
+    assert 3 < len(licenses.parts_of(worded, 400)) < 15 and sum(len(p.templates) for p in licenses.parts_of(worded, 400)) == len(worded)

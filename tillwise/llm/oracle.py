@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillwise.llm import licenses
+from tillwise.llm.notices import NOTICES
 
 EXACT_DEDUP = r"""
 WITH texts AS (
@@ -118,17 +118,24 @@ FROM texts LEFT JOIN grouped USING (row_no)
 """
 
 def _notice_rows() -> str:
-    rows = []
-    for name, text in licenses.NOTICES.items():
-        words = licenses.template_words(text)
-        size = licenses.WindowClass(len(words))
-        rows += [f"('{name}', {size.stride}, {size.length}, '{s}')" for s in sorted(set(licenses.shingle_list(words)))]
-    return ", ".join(rows)
+    return ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in NOTICES.items())
 
 
-# Every shingle of every document against every template, on the same grid of windows.
+# Every shingle of every document against every template, on windows of its own account.
 LICENSE_SCANS = rf"""
-WITH asked(license, stride, width, shingle) AS (VALUES {_notice_rows()}
+WITH RECURSIVE class_sizes(size) AS (
+  SELECT 8 UNION ALL SELECT size * 5 // 4 FROM class_sizes WHERE size < 2000
+), notices(license, text) AS (VALUES {_notice_rows()}
+), worded AS (
+  SELECT license, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words FROM notices
+), classed AS (
+  SELECT license, any_value(words) AS words, CASE WHEN len(any_value(words)) <= 8 THEN len(any_value(words)) ELSE min(size) END AS size
+  FROM worded JOIN class_sizes ON size >= len(words) GROUP BY license
+), asked AS (
+  SELECT DISTINCT license, greatest(1, size // 4) AS stride,
+         size + CASE WHEN size > 8 THEN greatest(8, size // 4) ELSE 0 END + greatest(1, size // 4) - 1 AS width,
+         array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM classed, generate_series(1, len(words) - 4) AS s(i)
 ), sizes AS (
   SELECT license, count(*) AS n FROM asked GROUP BY license
 ), texts AS (
@@ -142,13 +149,13 @@ WITH asked(license, stride, width, shingle) AS (VALUES {_notice_rows()}
     FROM split, generate_series(0, len(words) - 5) AS s(place) WHERE len(words) >= 5
   ) AS shown JOIN asked USING (shingle)
 ), covered AS (
-  SELECT doc_id, text, license, no * stride AS start, count(DISTINCT shingle) AS shared
+  SELECT doc_id, text, license, no, min(place) AS first_place, count(DISTINCT shingle) AS shared
   FROM hits, generate_series(greatest(0, CAST(ceil((place + 5 - width) / stride) AS BIGINT)), place // stride) AS g(no)
   GROUP BY ALL
 ), matching AS (
-  SELECT doc_id, text, license, start, shared / n AS containment FROM covered JOIN sizes USING (license) WHERE shared / n >= 0.8
+  SELECT doc_id, text, license, first_place, shared / n AS containment FROM covered JOIN sizes USING (license) WHERE shared / n >= 0.8
 )
-SELECT doc_id, license, max(containment) AS containment, CAST(arg_min(start, (-containment, start)) AS INTEGER) AS first_word, count(*) AS windows
+SELECT doc_id, license, max(containment) AS containment, CAST(arg_min(first_place, (-containment, first_place)) AS INTEGER) AS first_word, count(*) AS windows
 FROM matching GROUP BY doc_id, text, license
 """
 
