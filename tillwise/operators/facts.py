@@ -9,7 +9,7 @@ one scan of the lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.config import CleaningRules
@@ -65,6 +65,12 @@ def order_ledger(lines: DataFrame, rules: CleaningRules) -> DataFrame:
     )
 
 
+def ledger_totals(rules: CleaningRules) -> list[Column]:
+    """What a ledger says of all lines without distinct counts: rows_n, as in the ledger, and first_ts and last_ts."""
+    rows = [F.coalesce(F.sum(f"rows_{n}"), F.lit(0)).alias(f"rows_{n}") for n in range(len(cleaning_steps(rules)) + 1)]
+    return [*rows, F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
+
+
 def ledger_facts(ledger: DataFrame, rules: CleaningRules) -> DataFrame:
     """The clean part of a ledger as facts."""
     passed = F.col(f"rows_{len(cleaning_steps(rules))}")

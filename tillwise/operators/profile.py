@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.config import AnalysisConfig, month_slug
+from tillwise.config import AnalysisConfig, CleaningRules, month_slug
 from tillwise.functions import pct, round2
+from tillwise.operators.cleaning import cleaning_steps
 from tillwise.operators.rows import mean_of, record_at, records, side_by_side
 from tillwise.sources.lines import LINE_COLUMNS
 
+CLEAN_COLUMNS = ["rows", "revenue", "unique_invoices", "customers_including_guest_key", "guest_line_rows", "guest_line_share_pct"]
+
 
 def profile_raw(lines: DataFrame) -> DataFrame:
     """Size, period, invoices and customers of the raw lines."""
@@ -34,16 +37,47 @@ def _raw_profile(frame: DataFrame, rows: Column, first: str, last: str) -> DataF
 
 def profile_clean(facts: DataFrame) -> DataFrame:
     """Size, revenue, invoices, customers (all guests as one) and guest lines of the clean lines."""
-    is_guest = F.col("CustomerID").isNull()
-    totals = facts.agg(
-        F.coalesce(F.sum("line_count"), F.lit(0)).alias("rows"),
-        round2(F.sum("line_revenue")).alias("revenue"),
-        F.count_distinct("InvoiceNo").alias("unique_invoices"),
-        (F.count_distinct("CustomerID") + F.coalesce(F.max(is_guest.cast("bigint")), F.lit(0))).alias(
-            "customers_including_guest_key"
-        ),
-        F.coalesce(F.sum(F.when(is_guest, F.col("line_count"))), F.lit(0)).alias("guest_line_rows"),
+    return _with_guest_share(facts.agg(*_clean_measures(F.col("line_count"))))
+
+
+def profiles_of_ledger(ledger: DataFrame, totals: DataFrame, rules: CleaningRules) -> DataFrame:
+    """One row (raw_profile, clean_profile): both profiles from one pass over a ledger and its totals."""
+    passed = F.col(f"rows_{len(cleaning_steps(rules))}")
+    raw = [F.count_distinct("InvoiceNo").alias("raw_unique_invoices"), F.count_distinct("CustomerID").alias("raw_unique_customers_non_null")]
+    both = side_by_side(totals.select(F.struct("*").alias("t")), ledger.agg(*raw, *_clean_measures(passed, passed > 0)))
+    raw_profile = both.select(
+        F.struct(
+            F.col("t.rows_0").alias("raw_rows"),
+            F.lit(len(LINE_COLUMNS)).alias("raw_columns"),
+            F.col("t.first_ts").cast("string").alias("date_min"),
+            F.col("t.last_ts").cast("string").alias("date_max"),
+            "raw_unique_invoices",
+            "raw_unique_customers_non_null",
+        ).alias("raw_profile"),
+        "*",
     )
+    shared = _with_guest_share(raw_profile)
+    return shared.select("raw_profile", F.struct(*CLEAN_COLUMNS).alias("clean_profile"))
+
+
+def _clean_measures(lines: Column, clean: Column | None = None) -> list[Column]:
+    """The profile's aggregates over the rows that are clean; ``lines`` is how many lines a row stands for."""
+
+    def kept(value: Column) -> Column:
+        return value if clean is None else F.when(clean, value)
+
+    is_guest = F.col("CustomerID").isNull()
+    any_guest = F.coalesce(F.max(kept(is_guest.cast("bigint"))), F.lit(0))
+    return [
+        F.coalesce(F.sum(kept(lines)), F.lit(0)).alias("rows"),
+        round2(F.sum(kept(F.col("line_revenue")))).alias("revenue"),
+        F.count_distinct(kept(F.col("InvoiceNo"))).alias("unique_invoices"),
+        (F.count_distinct(kept(F.col("CustomerID"))) + any_guest).alias("customers_including_guest_key"),
+        F.coalesce(F.sum(kept(F.when(is_guest, lines))), F.lit(0)).alias("guest_line_rows"),
+    ]
+
+
+def _with_guest_share(totals: DataFrame) -> DataFrame:
     return totals.withColumn("guest_line_share_pct", pct(F.col("guest_line_rows"), F.col("rows")))
 
 

@@ -179,8 +179,13 @@ def consistency_note(sensitivity: DataFrame, outlier: DataFrame, config: Analysi
 
 def output_check(result: DataFrame) -> DataFrame:
     """Per column of a result: how many values are NULL, NaN or infinite. One pass."""
-    counts, rows = [], []
-    for field in result.schema:
+    return output_check_rows(result.agg(*output_measures(result.schema)), result.schema)
+
+
+def output_measures(schema: T.StructType) -> list[Column]:
+    """The counts of an output check as aggregates."""
+    counts = []
+    for position, field in enumerate(schema):
         value = F.col(f"`{field.name}`")
         floating = isinstance(field.dataType, (T.DoubleType, T.FloatType))
         infinite = value.isin(float("inf"), float("-inf"))
@@ -189,11 +194,15 @@ def output_check(result: DataFrame) -> DataFrame:
             "nan_count": F.count_if(F.isnan(value)) if floating else F.count_if(F.lit(False)),
             "infinite_count": F.count_if(infinite) if floating else F.count_if(F.lit(False)),
         }
-        position = len(rows)
         counts += [part.alias(f"{name}_{position}") for name, part in parts.items()]
-        rows.append(
-            F.struct(
-                F.lit(field.name).alias("column_name"), *[F.col(f"{name}_{position}").alias(name) for name in parts]
-            )
-        )
-    return result.agg(*counts).select(F.inline(F.array(*rows)))
+    return counts
+
+
+def output_check_rows(counts: DataFrame, schema: T.StructType) -> DataFrame:
+    """The row of counts as one row per column."""
+    names = ("null_count", "nan_count", "infinite_count")
+    rows = [
+        F.struct(F.lit(field.name).alias("column_name"), *[F.col(f"{name}_{position}").alias(name) for name in names])
+        for position, field in enumerate(schema)
+    ]
+    return counts.select(F.inline(F.array(*rows)))

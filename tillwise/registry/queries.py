@@ -183,6 +183,13 @@ def _sink_csv(report: GrowthReport) -> DataFrame:
     return spark.read.option("header", True).schema(report.monthly_kpi.schema).csv(path)
 
 
+def _written_check(report: GrowthReport) -> DataFrame:
+    """The output check of the retention matrix, gathered while the report is published."""
+    with Tables(report.monthly_kpi.sparkSession) as tables:
+        checks = report.write(shared_path(tables.spark, "results"))
+        return checks["cohort_retention_matrix"]
+
+
 def _sink_json(report: GrowthReport) -> DataFrame:
     """The dashboard document, written as JSON, read back and laid out as values."""
     spark = report.dashboard.sparkSession
@@ -349,6 +356,11 @@ def queries() -> dict[str, Query]:
         "dashboard_bundle": _report(lambda report: documents.document_values(report.dashboard)),
         "sink_csv": _report(_sink_csv),
         "sink_json": _report(_sink_json),
+        # gathered while the ledger and the results are written
+        "written_profile_raw": _report(lambda report: report.raw_profile),
+        "written_profile_clean": _report(lambda report: report.clean_profile),
+        "written_quality_steps": _report(lambda report: report.quality_steps),
+        "written_output_check": _report(_written_check),
         "dashboard_tables": _report(_dashboard_tables),
         "dashboard_quality": _dashboard_table("data_quality"),
         "dashboard_kpi": _dashboard_table("monthly_kpi"),

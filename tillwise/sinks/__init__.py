@@ -10,14 +10,21 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.operators.documents import to_json_text
+from tillwise.operators.observed import observed
+from tillwise.operators.quality import output_check_rows, output_measures
 from tillwise.sources.shared import file_of
 
 _ASIDE, _BEFORE = ".writing-", ".before-"
 
 
-def write_csv(result: DataFrame, path: str, order_by: list[str]) -> None:
-    """A result of at most one row per month, cohort or step as one CSV part with a header."""
-    _ordered(result, order_by).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(result: DataFrame, path: str, order_by: list[str]) -> DataFrame:
+    """A result of at most one row per month, cohort or step as one CSV part with a header.
+
+    Returns its output check, which is gathered by the job that writes.
+    """
+    single, gathered = observed(_ordered(result, order_by), output_measures(result.schema))
+    single.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return output_check_rows(gathered(), result.schema)
 
 
 def write_json(document: DataFrame, path: str) -> None:
