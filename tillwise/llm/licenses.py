@@ -16,12 +16,13 @@ Everything is done by DataFrame functions, and documents are not shuffled.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm.notices import NOTICES
@@ -130,13 +131,15 @@ class Part:
             found.append(F.struct(*[F.lit(v).alias(k) for k, v in values.items()], F.array(*map(F.lit, own)).alias("anchors")))
         return F.array(*found)
 
-    def known(self) -> list[tuple[int, str, list[str], int]]:
-        """(class, license, shingles, bands) of each template."""
-        return [
-            (size.words, name, sorted(set(shingle_list(words))), self.bands(size, templates))
+    def known(self, spark: SparkSession) -> DataFrame:
+        """(class, license, asked, bands) of each template; ``asked`` are its shingles. One literal, so no Python worker reads it."""
+        rows = [
+            {"class": size.words, "license": name, "asked": sorted(set(shingle_list(words))), "bands": self.bands(size, templates)}
             for size, templates in self.classes.items()
             for name, words in templates.items()
         ]
+        ddl = "array<struct<class: int, license: string, asked: array<string>, bands: int>>"
+        return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), ddl)))
 
 
 def parts_of(templates: dict[str, list[str]], most_words: int = PART_WORDS) -> list[Part]:
@@ -207,7 +210,6 @@ def _anchored(rows: DataFrame, wanted: list[str], overlap: int) -> DataFrame:
 
 def _matches(anchored: DataFrame, part: Part) -> DataFrame:
     """(id, text_hash, license, start, first, containment): windows that contain enough of a template, and its first word there."""
-    spark = anchored.sparkSession
     placed = F.flatten(
         F.transform(
             part.windows(),
@@ -224,7 +226,7 @@ def _matches(anchored: DataFrame, part: Part) -> DataFrame:
     hashed = windows.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
     keys = F.posexplode(_bands(F.col("hashes"), F.col("bands"))).alias("band", "key")
 
-    known = spark.createDataFrame(part.known(), "class int, license string, asked array<string>, bands int")
+    known = part.known(anchored.sparkSession)
     known_hashes = known.withColumn("hashes", F.transform("asked", lambda s: F.xxhash64(s)))
     # Shingles are broadcast once a template, not once a band.
     met = hashed.select("id", "text_hash", "start", "shingles", "class", keys).join(
