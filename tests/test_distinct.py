@@ -70,3 +70,25 @@ def test_both_results_shuffle_fewer_rows_than_two_expansions(spark):
         state = stage(state, "state")
         read = shuffled_rows(distinct.daily_stats(state, STAR_CONFIG.window)) + shuffled_rows(distinct.profile_clean(state))
     assert built + read < plain, (built, read, plain)
+
+
+def test_scattered_ids_take_a_word_each(spark):
+    """A day with ids all over a wide range takes rows as small as the keys, which are combined by hashing and never sorted."""
+    rows = [(date(2011, 1, 5), str(i * 1_000_003), i * 99_991, Decimal(1), 1) for i in range(500)]
+    state = distinct.distinct_state(spark.createDataFrame(rows, DDL))
+    assert state.schema["bits"].dataType.typeName() == "long"
+    for frame in (state, distinct.merged(state), distinct.profile_clean(state)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+    counts = distinct.profile_clean(state).first()
+    assert (counts["unique_invoices"], counts["customers_including_guest_key"]) == (500, 500)
+
+
+def test_every_bit_of_a_word_counts(spark):
+    """Ids around the ends of words, the sign bit among them, and the largest one."""
+    ids = [0, 1, 62, 63, 64, 65, 127, 128, 2**63 - 1, 2**63 - 64]
+    rows = [(date(2011, 1, 5 + n % 2), str(i), i, Decimal(1), 1) for n in range(3) for i in ids]
+    state = distinct.distinct_state(spark.createDataFrame(rows, DDL).repartition(3))
+    counts = distinct.profile_clean(state).first()
+    assert (counts["unique_invoices"], counts["customers_including_guest_key"], counts["rows"]) == (10, 10, 30)
+    assert state.filter("kind = 'invoice'").count() == 2 * 4

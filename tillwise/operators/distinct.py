@@ -1,12 +1,12 @@
 """Exact distinct counts over several grains from one mergeable table of bitmaps.
 
-Per day the table holds the day's invoices and customers as bitmaps of 32,768 ids each, and its sums. Bitmaps of days combine with OR, so
+Per day the table holds the day's invoices and customers as bitmaps of 64 ids each, and its sums. Bitmaps of days combine with OR, so
 month, year and whole follow from the days without going back to the lines, and a day that is added or replaced changes its own rows alone.
 A counted key is a bit if it is a whole number from 0 on, written without leading zeros; any other key, as that of all guests, has a row
 of its own, so that counts are exact whatever the keys are.
 
-A bitmap has 4 kB however few bits are set. That is a bit or two a key for ids that grow with time or belong to regular customers, and more
-than the keys themselves where a day's ids are scattered over a wide range; ``kpi.daily_stats`` counts those in fewer bytes.
+A bitmap is one word, so a day whose ids are scattered over a wide range takes a row a key at most, and a day whose ids stand
+together one row for 64 of them. The table never takes more rows than there are different keys a day.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tillwise.operators.calendar import calendar
 from tillwise.operators.cleaning import customer_key
 
 KEYS = ["kind", "bucket", "key"]
+WORD_IDS = 64
 
 
 def distinct_state(facts: DataFrame) -> DataFrame:
@@ -43,27 +44,23 @@ def distinct_state(facts: DataFrame) -> DataFrame:
     keyed = counted.withColumn("id", number).select(
         "order_date",
         "kind",
-        F.bitmap_bucket_number("id").alias("bucket"),
+        F.expr(f"id DIV {WORD_IDS}").alias("bucket"),
         F.when(F.col("id").isNull(), F.col("text")).alias("key"),
-        F.bitmap_bit_position("id").alias("bit"),
+        F.expr(f"shiftleft(1L, CAST(id % {WORD_IDS} AS INT))").alias("bit"),
         *[F.when(F.col("kind") == "total", F.col(name)).alias(name) for name in measures],
     )
-    return (
-        keyed.groupBy("order_date", *KEYS)
-        .agg(F.bitmap_construct_agg("bit").alias("bits"), *[F.sum(name).alias(name) for name in measures])
-        .withColumn("bits", F.when(F.col("bucket").isNotNull(), F.col("bits")))
-    )
+    return keyed.groupBy("order_date", *KEYS).agg(F.bit_or("bit").alias("bits"), *[F.sum(name).alias(name) for name in measures])
 
 
 def merged(state: DataFrame, *grain: Column) -> DataFrame:
     """The table over a coarser grain, expressions of ``order_date``; without any, over all days."""
     sums = [F.sum(name).alias(name) for name in ("revenue", "lines", "guest_lines")]
-    return state.groupBy(*grain, *KEYS).agg(F.bitmap_or_agg("bits").alias("bits"), *sums)
+    return state.groupBy(*grain, *KEYS).agg(F.bit_or("bits").alias("bits"), *sums)
 
 
 def distinct(kind: str) -> Column:
     """The number of distinct keys of a kind, as an aggregate over rows of the table."""
-    keys = F.when(F.col("key").isNotNull(), F.lit(1).cast("long")).otherwise(F.coalesce(F.bitmap_count("bits"), F.lit(0)))
+    keys = F.when(F.col("key").isNotNull(), F.lit(1).cast("long")).otherwise(F.coalesce(F.bit_count("bits").cast("long"), F.lit(0)))
     return F.coalesce(F.sum(F.when(F.col("kind") == kind, keys)), F.lit(0).cast("long"))
 
 
