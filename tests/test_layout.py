@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from pathlib import Path
 
 import pytest
@@ -90,6 +91,29 @@ def test_bucket_counts_follow_the_size():
     assert [layout.bucket_count(n) for n in (0, 1, 2**27, 2**27 + 1, 10**14)] == [1, 1, 1, 2, 745_059]
 
 
+def test_buckets_of_a_query_fit_into_a_tasks_memory(spark, monkeypatch):
+    """A bucket is sorted whole: tables of 512 MB in Parquet go to 32 buckets, not to four."""
+    module, asked = sys.modules["tillwise.registry.queries"], []
+    monkeypatch.setattr(module, "fingerprint", lambda *_: (("made-up.parquet", 2**29, 0),))
+    write = layout.write_star_layout
+    monkeypatch.setattr(layout, "write_star_layout", lambda *a: asked.append(a[3]) or write(*a[:3], 2))
+    with Tables(spark):
+        assert queries()["bucketed_scan"](spark, f"{TESTDATA}/sf0.001").count() == 6000
+    assert asked == [32]
+
+
+def test_lines_with_countries_leave_the_bucketed_lines_in_place(spark, path):
+    """Countries come with the orders; the bucketed lines are not shuffled by order key for them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = layout.layout_lines(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(o_orderkey" in plan
+    assert "c_custkey" in "".join(below(plan, "SortMergeJoin [l_orderkey"))
+
+
 def test_hot_orders_and_orders_without_lines(spark, tmp_path):
     """A third of the lines on one order, and an order key that no order has."""
     spark.sql("SELECT IF(id % 3 = 0, 1L, id) AS l_orderkey, 1L AS l_partkey, CAST(id % 7 AS INT) AS l_linenumber, 2.0D AS l_quantity, 0.1D AS l_discount, 0.1D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus FROM range(1, 3001)").write.parquet(f"{tmp_path}/lineitem.parquet")

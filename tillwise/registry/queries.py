@@ -83,7 +83,7 @@ def _bucketed(build: Callable[[DataFrame], DataFrame], columns: list[str]) -> Qu
         files = fingerprint(spark, *star_paths(sf_dir))
 
         def write(path: str) -> str:
-            buckets = layout.bucket_count(sum(size for _, size, _ in files))
+            buckets = layout.bucket_count(sum(size for _, size, _ in files), layout.BUCKET_BYTES)
             layout.write_star_layout(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), path, buckets)
             return path
 

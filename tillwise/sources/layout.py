@@ -14,13 +14,16 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.session import PIECE_BYTES
+from tillwise.session import MB, PIECE_BYTES
 from tillwise.sources.lines import LINE_COLUMNS
 from tillwise.sources.shared import file_of
 from tillwise.sources.star import STAR_TABLES, lines_of_star
 
 #: Tables of the layout that are bucketed, with their keys; the others are small beside these and are copied as they are.
 BUCKETED = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+#: Parquet bytes of one bucket. A bucket is sorted whole by one task as it is written and again as it is joined, and its rows take
+#: more than ten times their Parquet bytes there, so that buckets of ``PIECE_BYTES`` would not fit into a task's memory and spill.
+BUCKET_BYTES = 16 * MB
 _FOLDER = re.compile(r"(?P<table>\w+)\.by\.(?P<key>\w+)\.(?P<buckets>\d+)$")
 
 
