@@ -7,7 +7,7 @@ import json
 from pathlib import Path
 
 import pytest
-from helpers import line, lines
+from helpers import line, lines, shuffled_rows
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -117,6 +117,25 @@ def test_star_lines_without_unneeded_joins(spark):
     assert full.select("InvoiceNo", "Quantity").exceptAll(narrow).isEmpty()
 
 
+def test_lines_are_shuffled_by_order_and_by_part_only(spark):
+    """Without broadcasts the 6,000 lines cross two exchanges as keys and flags; countries are joined to the orders."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    expected = sorted(map(str, star_lines(spark, "/root/testdata/sf0.001").collect()))
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        lines = star_lines(spark, "/root/testdata/sf0.001")
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        moved = shuffled_rows(lines)
+        assert sorted(map(str, lines.collect())) == expected
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert 2 * 6000 < moved < 3 * 6000
+    assert plan.index("AS InvoiceNo") < plan.index("SortMergeJoin") and "AS InvoiceNo" not in plan[plan.index("SortMergeJoin") :]
+
+
 def test_report_files(spark, tmp_path):
     report = growth_report(star_lines(spark, "/root/testdata/sf0.001"), STAR_CONFIG, "lineitem")
     out = str(tmp_path / "out")

@@ -33,6 +33,9 @@ def lines_of_star(table: Callable[[str], DataFrame], columns: Iterable[str] = LI
     Spark drops unused columns by itself but not an unused inner join. No join carries a
     broadcast hint; whether a side is small enough is Spark's decision from the measured file
     sizes, and beyond that adaptive execution splits hot order or part keys of a sort-merge join.
+
+    Lines are the largest table, so they are shuffled by order and by part only, with keys and flags: an order's country is
+    found before the order meets its lines, and a line's texts are made from its keys after the joins.
     """
     wanted = [c for c in LINE_COLUMNS if c in set(columns)]
     is_return = F.col("l_returnflag") == "R"
@@ -42,12 +45,7 @@ def lines_of_star(table: Callable[[str], DataFrame], columns: Iterable[str] = LI
     padded = F.lpad(part_text, F.greatest(F.length(part_text), F.lit(6)), F.lit("0"))
 
     frame = table("lineitem").select(
-        F.when(is_return & (F.col("l_linestatus") == "O"), F.concat(F.lit("C"), order_text))
-        .otherwise(order_text)
-        .alias("InvoiceNo"),
-        F.when(F.col("l_partkey") % 50 == 0, F.lit("POST"))
-        .otherwise(F.concat(F.lit("SKU"), padded))
-        .alias("StockCode"),
+        (is_return & (F.col("l_linestatus") == "O")).alias("is_cancelled"),
         F.when(is_return, -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("int").alias("Quantity"),
         ((F.col("l_discount") == 0) & (F.col("l_tax") == 0)).alias("is_free"),
         ((F.col("l_orderkey") % 11 == 0) | ((F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") == 1))).alias(
@@ -58,17 +56,19 @@ def lines_of_star(table: Callable[[str], DataFrame], columns: Iterable[str] = LI
     )
     if _FROM_ORDERS & set(wanted):
         orders = table("orders")
+        if "Country" in wanted:
+            home = table("customer")
+            nation = table("nation")
+            home = home.join(nation, home.c_nationkey == nation.n_nationkey)
+            orders = orders.join(home, orders.o_custkey == home.c_custkey)
         frame = frame.join(orders, frame.l_orderkey == orders.o_orderkey)
     if _FROM_PART & set(wanted):
         part = table("part")
         frame = frame.join(part, frame.l_partkey == part.p_partkey)
-    if "Country" in wanted:
-        customer = table("customer")
-        nation = table("nation")
-        home = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-        frame = frame.join(home, frame.o_custkey == home.c_custkey)
 
     derived = {
+        "InvoiceNo": lambda: F.when(F.col("is_cancelled"), F.concat(F.lit("C"), order_text)).otherwise(order_text),
+        "StockCode": lambda: F.when(F.col("l_partkey") % 50 == 0, F.lit("POST")).otherwise(F.concat(F.lit("SKU"), padded)),
         "Description": lambda: F.col("p_name"),
         "InvoiceDate": lambda: F.col("o_orderdate").cast("timestamp_ntz"),
         "UnitPrice": lambda: F.when(F.col("is_free"), F.lit(0)).otherwise(F.col("p_retailprice")).cast(PRICE_TYPE),
