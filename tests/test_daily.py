@@ -103,3 +103,16 @@ def test_the_command_line_merges(spark, tmp_path, capsys):
     growth_report(whole, AnalysisConfig(window=window, months=InsightMonths.of(window)), "day1").write(str(tmp_path / "plain"))
     parts = lambda name: {p.parent.name: p.read_text() for p in Path(tmp_path, name).rglob("part-*")}
     assert parts("out") == parts("plain")
+
+
+def test_a_merge_does_not_read_the_days_of_others(spark, tmp_path, monkeypatch):
+    """What a merge wrote is known from its own job, so neither the days nor their folders are looked at again."""
+    store = LedgerStore(spark, str(tmp_path / "store"), RULES)
+    store.merge(lines(spark, *[r for day in DAYS for r in day_rows(day, 1)]))
+    with monkeypatch.context() as patched:
+        patched.setattr(LedgerStore, "_written", lambda _: pytest.fail("the days were read"))
+        done = store.merge(lines(spark, *day_rows(DAYS[4], 2, 9), line(when=None)))
+    assert (done.lines, done.added, done.replaced) == (10, 1, 1)
+    assert store.merge(lines(spark)).lines == 0
+    whole = lines(spark, *[r for day in DAYS[:4] for r in day_rows(day, 1)], *day_rows(DAYS[4], 2, 9), line(when=None))
+    assert text(store.ledger()) == text(order_ledger(whole, RULES).select(store.ledger().columns))

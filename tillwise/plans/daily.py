@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillwise import sinks
 from tillwise.config import AnalysisConfig, CleaningRules, DayWindow
 from tillwise.operators.facts import order_ledger
+from tillwise.operators.observed import observed
 from tillwise.plans.growth import GrowthReport, settled_report
 from tillwise.sources.lines import LINE_SCHEMA
 from tillwise.sources.shared import delete, file_of
@@ -49,10 +50,19 @@ class LedgerStore:
         ledger = order_ledger(lines, self._rules)
         # A day's rows come together in few files; a hot day is split.
         by_day = ledger.withColumn("merge", F.lit(merge)).hint("rebalance", "order_date")
+        # Gathered while the days are written: reading them back would list every day of the store.
+        by_day, gathered = observed(
+            by_day,
+            [
+                F.coalesce(F.sum("rows_0"), F.lit(0)).alias("lines"),
+                F.collect_set("order_date").alias("days"),
+                F.count_if(F.col("order_date").isNull()).alias("undated"),
+            ],
+        )
         by_day.write.mode("append").partitionBy("order_date", "merge").parquet(f"{self._path}/days")
-        written = self._written().filter(F.col("merge") == merge)
-        lines_of_day = written.groupBy("order_date").agg(F.sum("rows_0").alias("lines")).collect()
-        new = self._spark.createDataFrame([(row["order_date"], merge) for row in lines_of_day], DAYS)
+        done = gathered().first()
+        days = [*done["days"], *([None] if done["undated"] else [])]
+        new = self._spark.createDataFrame([(day, merge) for day in days], DAYS)
         old = self._list()
         same = F.col("old.order_date").eqNullSafe(F.col("new.order_date"))
         kept = old.alias("old").join(new.alias("new"), same, "left_anti")
@@ -62,7 +72,7 @@ class LedgerStore:
         for row in gone:
             day = "__HIVE_DEFAULT_PARTITION__" if row["order_date"] is None else row["order_date"]
             delete(self._spark, f"{self._path}/days/order_date={day}/merge={row['merge']}")
-        return Merged(sum(row["lines"] for row in lines_of_day), len(lines_of_day) - len(gone), len(gone))
+        return Merged(done["lines"], len(days) - len(gone), len(gone))
 
     def ledger(self) -> DataFrame:
         """All days as one ledger, as ``order_ledger`` gives it for all lines at once."""
